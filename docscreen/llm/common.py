@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.packaging import ship
+
 #: Whitespace of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = "\t\n\x0b\x0c\r"
 
@@ -56,6 +58,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def local_path(uri: str) -> str | None:
     """The local path of a file: URI, else None."""
     if uri.startswith("file:"):

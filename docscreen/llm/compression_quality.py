@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SPACES, words
+from .common import SPACES, map_arrow, words
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -116,4 +116,4 @@ def quality(
             names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "worst_low_chunk", "worst_high_chunk"]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), run, SCHEMA)

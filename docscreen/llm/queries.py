@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, sentencepiece_codec
+from . import compression_quality, decontamination, pii, sentencepiece_codec, toxicity
 from .common import table
 
 BASE = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -22,6 +22,23 @@ def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), model_path()))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymize(table(spark, sf_dir, "documents"))
+    counts = [F.col(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", "text", sum(counts[1:], counts[0]).alias("n_replaced"), *counts)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.quality(table(spark, sf_dir, "documents")).select(*BASE, F.round("ratio", 6).alias("ratio"))
 
