@@ -2,4 +2,18 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+#: Base32 of a hexadecimal SHA-1: eight groups of five digits make four letters each.
+_BASE32 = """list_reduce(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(sha, 1 + 5 * CAST(i // 4 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)),
+    lambda a, b: a || b)"""
+
+ORACLES: dict[str, str] = {
+    "op8_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS sha FROM p),
+             m AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS last FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM m""",
+}
