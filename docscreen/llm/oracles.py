@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import licenses
+
 #: Base32 of a hexadecimal SHA-1: eight groups of five digits make four letters each.
 _BASE32 = """list_reduce(list_transform(range(0, 32), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(sha, 1 + 5 * CAST(i // 4 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)),
@@ -16,4 +18,5 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> last THEN last END AS refers_to
         FROM m""",
+    "op9_licenses": licenses.sql("documents", "concat_ws('/', '', source, lang, CAST(doc_id AS VARCHAR))"),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, decontamination, near_dedup, pii, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity, warc
+from . import compression_quality, decontamination, licenses, near_dedup, pii, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity, warc
 from .common import table
 
 BASE = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -57,6 +57,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs.withColumn("path", F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string"))))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.quality(table(spark, sf_dir, "documents")).select(*BASE, F.round("ratio", 6).alias("ratio"))
 
