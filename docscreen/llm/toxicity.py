@@ -265,16 +265,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     return Model(fit_linear(x, model.posterior(all_votes)), voters, model, len(y))
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The keep columns and score; one row for each row of docs, no shuffle. Only the text enters the score."""
-
-
-    docs = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("_text"))
-    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    docs = docs.select(*[docs[c] for c in keep], *([docs[text_col]] if at == len(keep) else []))
+    schema = T.StructType([*docs.schema.fields[: len(keep)], T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([model.voters.read(t)[1] for t in b.column(len(keep)).to_pylist()]).reshape(-1, model.voters.n_features)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(x))], schema.names)
+            x = np.array([model.voters.read(t)[1] for t in b.column(at).to_pylist()]).reshape(-1, model.voters.n_features)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(model.score(x))], schema.names)
 
     return map_arrow(docs, run, schema)
