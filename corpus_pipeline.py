@@ -3,10 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docscreen.llm import decontamination, near_dedup, pii, sentencepiece_codec, toxicity
 from docscreen.llm.common import materialize, table
+from docscreen.llm.queries import model_path
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, COLUMNS, score_col="toxicity_score")
+    return scored.where(F.col("toxicity_score") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near duplicates."""
+    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontamination.find(docs, table(spark, sf_dir, "benchmark"), tuple(c for c in COLUMNS if c != "text"))
+    return found.where(F.size("matches") == 0).select(*COLUMNS)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with pseudonyms for personal data."""
+    hidden = pii.pseudonymize(docs, keep=tuple(c for c in COLUMNS if c not in ("text", "n_chars")))
+    return hidden.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Subword ids of each document and the text that they decode to."""
+    return sentencepiece_codec.encode_decode(docs, model_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", hide_personal_data),
+    ("sentencepiece", encode),
+]
 
 #: SQL can't express a learned classifier, a signature join or a subword model.
 ORACLE_SQL = None
