@@ -1,0 +1,69 @@
+"""Blink detection on a stream of frames, one state for each session."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.face import CLOSED, LEAST_RUN
+from ..sources.packaging import ship
+from ..sources.shared import shared_dir
+
+FRAME = "session_id long, ts timestamp, ear double, has_face boolean"
+OUTPUT = "session_id long, ts timestamp"
+
+
+class Blinks(StatefulProcessor):
+    """The length of the run of closed frames so far is all that is kept for a session."""
+
+    def __init__(self, closed: float = CLOSED, least: int = LEAST_RUN):
+        self.closed, self.least = closed, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # Rows of a micro-batch come in any order.
+        frames = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        n = self.run.get()[0] if self.run.exists() else 0
+        found = []
+        for ts, ear, has_face in zip(frames.ts, frames.ear, frames.has_face):
+            if not has_face:
+                continue
+            if ear < self.closed:
+                n += 1
+            else:
+                if n >= self.least:
+                    found.append(ts)
+                n = 0
+        self.run.update((n,))
+        yield pd.DataFrame({"session_id": [key[0]] * len(found), "ts": pd.Series(found, dtype="datetime64[ns]")})
+
+    def close(self) -> None:
+        pass
+
+
+def blinks(frames: DataFrame, closed: float = CLOSED, least: int = LEAST_RUN) -> DataFrame:
+    """(session_id, ts) of each blink of a stream of frames (session_id, ts, ear, has_face).
+
+    Frames must reach a session's state in order of time; one that comes in a later batch
+    than its successors is folded where it comes. Needs the RocksDB state store.
+    """
+    spark = frames.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return frames.groupBy("session_id").transformWithStateInPandas(Blinks(closed, least), OUTPUT, "Append", "None")
+
+
+def blink_stream(spark: SparkSession, frames: DataFrame, closed: float = CLOSED, least: int = LEAST_RUN) -> DataFrame:
+    """Run a table of frames through the stream to its end; the sink's rows."""
+    base = f"{shared_dir(spark)}/blinks-{uuid.uuid4().hex}"
+    frames.select("session_id", "ts", "ear", "has_face").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(FRAME).parquet(f"{base}/in")
+    query = blinks(stream, closed, least).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(OUTPUT).parquet(f"{base}/out")
