@@ -120,13 +120,18 @@ def scan(files: DataFrame, least: float = LEAST, id_col: str = "doc_id", path_co
     sentences = F.filter(F.split("text", BREAK), lambda s: s.rlike(MENTION))
     units = files.where(F.col("text").rlike(MENTION)).select("doc_id", "path", F.posexplode(F.concat(F.array("text"), sentences)).alias("unit", "said"))
     units = units.withColumn("unit", F.when(F.col("unit") > 0, F.xxhash64("said")).otherwise(F.lit(0)))  # a sentence said twice is one unit
+    # The one shuffle of text, of documents that mention licensing: all sums up to a document's best template stay in its partition.
+    units = units.repartition("doc_id", "path")
     terms = units.select("doc_id", "path", "unit", F.explode(F.regexp_extract_all("said", F.lit(f"({TERM})"))).alias("term"))
     tf = terms.groupBy("doc_id", "path", "unit", F.lower("term").alias("term")).agg(F.count("*").alias("tf"))
     # Both tables are of fixed size: the templates are part of this module.
     weighed = tf.join(F.broadcast(known), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    norms = weighed.groupBy("doc_id", "path", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(F.broadcast(vectors), "term").groupBy("doc_id", "path", "unit", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    close = _join(dots, norms, ["doc_id", "path", "unit"]).select("doc_id", "path", "unit", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= least)
+    # What is listed for a unit is at most the templates' terms.
+    listed = F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "x"))).alias("listed")
+    vectored = weighed.groupBy("doc_id", "path", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), listed)
+    dots = vectored.select("doc_id", "path", "unit", "norm", F.inline("listed")).join(F.broadcast(vectors), "term").groupBy("doc_id", "path", "unit", "norm", "template", "license")
+    cosine = F.round(F.sum(F.col("x") * F.col("weight")) / F.col("norm"), 6)
+    close = dots.agg(cosine.alias("cosine")).select("doc_id", "path", "unit", "license", "cosine").where(F.col("cosine") >= least)
     best = F.min(F.struct((-F.col("cosine")).alias("less"), "license"))
     own = close.groupBy("doc_id", "path").agg(best.alias("best"), F.min(F.when(F.col("unit") == 0, F.struct((-F.col("cosine")).alias("less"), "license"))).alias("whole"))
     speaks = F.coalesce("whole", F.when(F.col("path").rlike(FILE_NAME), F.col("best")))
