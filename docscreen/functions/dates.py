@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lookup import look_up
-from .text import col, sl
+from .text import col, once, sl
 
 ISO = "yyyy-MM-dd"
 
@@ -24,7 +24,10 @@ def century(yy: Column, pivot: int) -> Column:
 
 def mrz_date(c: Column | str, pivot: int = 50, iso: bool = True, checked: bool = True) -> Column:
     """YYMMDD as ISO or DD/MM/YYYY; null unless six digits (and, if checked, a day of the calendar)."""
-    v = F.trim(col(c))
+    return once(F.trim(col(c)), lambda v: _six_digits(v, pivot, iso, checked))
+
+
+def _six_digits(v: Column, pivot: int, iso: bool, checked: bool) -> Column:
     year, month, day = century(sl(v, 0, 2), pivot), sl(v, 2, 4), sl(v, 4, 6)
     known = _iso(year, month, day) if checked else F.concat_ws("-", year, month, day)
     out = known if iso else F.when(known.isNotNull(), F.concat_ws("/", day, month, year))
@@ -38,7 +41,10 @@ _MON = r"(\d{1,2})[\s\-.]*([A-Z]{3})[\s\-.]*(\d{2,4})"
 
 def normalize_date(c: Column | str, pivot: int = 50) -> Column:
     """ISO date by the first rule that gives a day: ISO as it is, D/M/Y, Y/M/D, D MON Y, six digits; else the upper-cased text."""
-    v = F.trim(F.upper(col(c)))
+    return once(F.trim(F.upper(col(c))), lambda v: _normalize(v, pivot))
+
+
+def _normalize(v: Column, pivot: int) -> Column:
     bare = F.regexp_replace(v, r"[^\w/\-.]", "")
     part = lambda text, pattern, k: F.regexp_extract(text, pattern, k)
     year = part(v, _MON, 3)
@@ -63,7 +69,10 @@ def iso_or_null(c: Column | str, pivot: int = 50) -> Column:
 
 def four_layouts(c: Column | str) -> Column:
     """ISO date of Y-M-D, D/M/Y, D-M-Y or D.M.Y; else the trimmed text."""
-    v = F.trim(col(c))
+    return once(F.trim(col(c)), _four)
+
+
+def _four(v: Column) -> Column:
     tries = []
     for pattern, (y, m, d) in ((r"^(\d{4})-(\d{1,2})-(\d{1,2})$", (1, 2, 3)), *((rf"^(\d{{1,2}}){s}(\d{{1,2}}){s}(\d{{4}})$", (3, 2, 1)) for s in ("/", "-", r"\."))):
         tries.append(F.when(v.rlike(pattern), _iso(*[F.regexp_extract(v, pattern, k) for k in (y, m, d)])))

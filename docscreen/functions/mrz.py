@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .dates import mrz_date
 from .lookup import gender
-from .text import LINE, clean_mrz_line, col, pad_line, sl
+from .text import LINE, clean_mrz_line, col, once, pad_line, sl
 
 #: Value of a character is its place here; others count 0.
 VALUES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -41,7 +41,10 @@ def normalize_line1(c: Column | str) -> Column:
 
 def normalize_line2(c: Column | str) -> Column:
     """Cleaned, repaired and padded."""
-    line = clean_mrz_line(c)
+    return once(clean_mrz_line(c), _repair)
+
+
+def _repair(line: Column) -> Column:
     line = F.when(line.rlike("^[A-Z0-9<]{9}[0-9][1I][A-Z]{3}"), F.concat(sl(line, 0, 10), F.substring(line, F.lit(12), F.length(line)))).otherwise(line)
     line = F.when(F.length(line) >= 13, F.concat(sl(line, 0, 10), F.translate(sl(line, 10, 13), "1", "I"), F.substring(line, F.lit(14), F.length(line)))).otherwise(line)
     return pad_line(line)
@@ -151,6 +154,10 @@ def _spaced(c: Column) -> Column:
 
 def parse(lines: Column, v: Variant = LIVE, strict_names: bool = False, icao: bool = False) -> Column:
     """The record of a struct (line1, line2); null if that is null."""
+    return once(lines, lambda z: _parse(z, v, strict_names, icao))
+
+
+def _parse(lines: Column, v: Variant, strict_names: bool, icao: bool) -> Column:
     one, two = lines["line1"], lines["line2"]
     names = F.substring(one, F.lit(6), F.lit(39))
     if v.repair_separator:

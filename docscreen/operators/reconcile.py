@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import four_layouts
 from ..functions.lookup import compare_code, consistency_code, same_nationality
-from ..functions.text import blank_to_null, col, compare_key_alnum, compare_key_compact, compare_key_text, first_present, missing, present
+from ..functions.text import blank_to_null, col, compare_key_alnum, compare_key_compact, compare_key_text, first_present, missing, once, present
 
 #: The fields compared, in order.
 COMPARED = ("passport_number", "surname", "given_name", "nationality", "gender", "date_of_birth", "date_of_expiry")
@@ -23,7 +23,11 @@ def _long_words(c: Column) -> Column:
 
 def compare_live(field: str, mrz: Column | str, visual: Column | str, stream: Column) -> Column:
     """MATCH, DIFFERENT, MISSING_OCR, MISSING_MRZ or BOTH_MISSING. stream: the visual zone's ``tokens``."""
-    m, v = col(mrz), col(visual)
+    both = F.struct(col(mrz).alias("m"), col(visual).alias("v"), stream.alias("s"))
+    return once(both, lambda b: _compare(field, b["m"], b["v"], b["s"]))
+
+
+def _compare(field: str, m: Column, v: Column, stream: Column) -> Column:
     within = lambda c: stream.contains(c)
     out = F.when(missing(m) & missing(v), "BOTH_MISSING")
     if field == "nationality":
