@@ -24,6 +24,7 @@ def written(spark: SparkSession, key: str, make) -> DataFrame:
     at = (spark.sparkContext.applicationId, key)
     if at not in _WRITTEN:
         path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-        make().write.parquet(path)
+        # Small source files come as one partition; what is made of their rows is worth all cores.
+        make().repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
         _WRITTEN[at] = path
     return spark.read.parquet(_WRITTEN[at])
