@@ -211,7 +211,27 @@ _CER_GUESS = "CASE WHEN corruption = 0 THEN NULL WHEN corruption < 4 THEN transl
 _DATE_LIST = r"list_sort(list_transform(regexp_extract_all(raw_text, '\b(\d{2}[/.\-]\d{2}[/.\-]\d{4})\b', 1), lambda d, i: {'day': coalesce(try_strptime(regexp_replace(d, '[.\-]', '/', 'g'), '%d/%m/%Y'), TIMESTAMP '2099-01-01'), 'at': i, 'raw': d}))"
 _OTHER = "CASE WHEN corruption < 3 THEN lower(family) WHEN corruption < 5 THEN ' ' ELSE given1 END"
 
+_TRIMMED = "list_transform(string_split({t}, chr(10)), lambda s: trim(s))"
+_TITLED = "regexp_matches(s, '^[A-Z][a-z]+(?:[ ]+[A-Z][a-z]+){1,4}$') AND length(s) > 4"
+_NID = (
+    _extract("national_id", "NATIONAL_ID", {"doc_id2": "doc_id"}).rpartition(" SELECT ")[0]
+    + rf""", ls AS (SELECT *, {_TRIMMED.format(t="t")} AS ls FROM x),
+    marks AS (SELECT *, list_position(list_transform(ls, lambda s: regexp_matches(s, '^(?:[SsDdWwFf][/\\][OoDdWwFf]\s+|(?:Son|Daughter|Wife|Father|Mother)\s*[/\\]?[Oo])')), true) AS rel,
+        list_position(list_transform(ls, lambda s: lower(s) = 'to'), true) AS too,
+        list_position(list_transform(ls, lambda s: regexp_matches(s, '(?i)^\d+-\d+') OR regexp_matches(s, '(?i)\b(VTC|District|State|PIN)\b')), true) AS a0,
+        list_position(list_transform(ls, lambda s: regexp_matches(s, '(?i)PIN\s*Code')), true) AS a1 FROM ls),
+    named AS (SELECT *, coalesce(CASE WHEN rel > 0 THEN list_filter(list_reverse(ls[greatest(rel - 3, 1):rel - 1]), lambda s: {_TITLED})[1] END, CASE WHEN too > 0 THEN list_filter(ls[too + 1:], lambda s: {_TITLED})[1] END) AS full_name,
+        CASE WHEN a0 > 0 THEN array_to_string(list_filter(ls[a0:a1], lambda s: s <> '' AND NOT regexp_matches(s, '(?i)\b(Aadhaar|UIDAI|Your|Mobile|VID|Signature)\b'))[1:5], ', ') END AS address,
+        replace(x_id_number, ' ', '') AS n, replace(x_vid, ' ', '') AS v, CASE WHEN regexp_matches(t, '(?i)\b(?:FEMALE|WOMAN)\b') THEN 'F' WHEN regexp_matches(t, '(?i)\b(?:MALE|MAN)\b') THEN 'M' END AS gender FROM marks)"""
+)
+
 ORACLES: dict[str, str] = {
+    "extract_national_id": f"""{_NID} SELECT doc_id, CASE WHEN length(n) = 12 THEN substr(n, 1, 4) || ' ' || substr(n, 5, 4) || ' ' || substr(n, 9, 4) ELSE x_id_number END AS id_number, full_name, {iso("x_date_of_birth")} AS date_of_birth, gender, x_guardian_name AS guardian_name, address,
+        CASE WHEN length(v) = 16 THEN substr(v, 1, 4) || ' ' || substr(v, 5, 4) || ' ' || substr(v, 9, 4) || ' ' || substr(v, 13, 4) ELSE v END AS vid, CASE WHEN contains(upper(t), 'AADHAAR') THEN 'Aadhaar Card' ELSE 'National ID' END AS id_type,
+        {_count("x_id_number", "full_name", "x_date_of_birth", "gender")} AS n_present FROM named""",
+    "line_window_above": f"""{TEXT}, ls AS (SELECT doc_id, list_filter({_TRIMMED.format(t="raw_text")}, lambda s: s <> '') AS ls FROM texts), i AS (SELECT *, list_position(list_transform(ls, lambda s: regexp_matches(s, 'DOB|Date of Birth')), true) AS i FROM ls)
+        SELECT doc_id, CASE WHEN i > 0 THEN list_filter(list_reverse(ls[greatest(i - 3, 1):i - 1]), lambda s: regexp_matches(s, '[A-Z]'))[1] END AS nearest FROM i""",
+    "audit_events": f"""{_TYPED} SELECT 'DOCUMENT_SCREENING_OCR' AS event_type, '20240102' AS audit_date, truth_type || '.jpg' AS input_file_name, CASE detected WHEN 'TRAVEL_AUTH' THEN 'TRAVEL_AUTHORIZATION' ELSE detected END AS document_type, 'UNKNOWN' AS file_hash_sha256, count(*) AS n FROM kinds GROUP BY ALL""",
     "mrz_check_digits": f"{MRZ} SELECT doc_id, substr(line2, 1, 9) AS number, {digit('substr(line2, 1, 9)')} AS by_fold, {digit('substr(line2, 1, 9)')} AS by_sum, {digit('substr(line2, 14, 6)')} AS birth_digit FROM mrz",
     "mrz_composite": f"{_LINES} SELECT doc_id, {digit(_COMPOSITE)} AS composite, substr(line, 44, 1) AS given FROM lines",
     "mrz_line2_repair": f"{_LINES} SELECT doc_id, line, line1 AS first FROM lines",
