@@ -10,6 +10,8 @@ from docscreen.llm.common import materialize, table
 from docscreen.llm.queries import model_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Least Jaccard index, in percent, of shingles that makes two documents near duplicates; op7's contract of 85 binds that query alone.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near duplicates."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -376,3 +376,18 @@ def test_pipeline(spark, tmp_path):
     got = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(got) == {i for i in range(120) if i % 6} | {202, 203}
     assert got[7].decoded == dict((x[0], x[1]) for x in rows)[7] and "a9@" not in got[202].decoded and got[203].n_tokens == 0
+
+
+def test_pipeline_near_dedup_from_80_percent(spark):
+    import corpus_pipeline
+
+    rows = []
+    for k, gap in enumerate((3, 4, 5, 6)):  # changed words, each of which changes five shingles of 200
+        base = prose(80 + k, 204).split(" ")
+        near = [f"new{i}" if i % 20 == 7 and i // 20 < gap else w for i, w in enumerate(base)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(near))]
+    sets = {i: s[0] for i, s in plain_sets(rows).items()}
+    index = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in (0, 10, 20, 30)}
+    assert index[0] > 0.85 > index[10] > 0.8 > index[20] > index[30]
+    want = {i for i in sets if i % 10 == 0 or index[i - 1] < 0.8}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, make(spark, rows), "").collect()} == want
