@@ -1,7 +1,10 @@
 """Licence scans with DataFrame functions alone.
 
-Each document that mentions licensing gives units: the whole text, and each sentence or line
-that holds a licence word. A unit's TF-IDF vector is compared by cosine with those of the
+Each document that mentions licensing gives units: the whole text, each sentence or line
+that holds a licence word, and each run of up to RUN segments that begins and ends with one
+that holds a licence word. Segments are the sentences of the text with comment marks and list
+numbers removed and the lines of a paragraph joined, so a notice wrapped in a comment is
+compared as one piece. SPDX identifiers count by name, with a cosine of 1. A unit's TF-IDF vector is compared by cosine with those of the
 licence templates: terms are joined with the templates' weights and summed, so only terms
 that both hold are multiplied. The best template of at least ``least`` (0.8) is the
 document's own licence. A document that is a licence as a whole, or has a licence and a
@@ -9,6 +12,9 @@ licence file's name, speaks for its directory. Documents without an own licence
 from the nearest directory above them that has one: paths are joined with directories by
 each of their ancestors.
 
+The SQL twin has the whole text and single sentences and lines only: it agrees where no
+notice is wrapped and no line holds an SPDX identifier that the templates don't spell out.
+
 The templates are a fixed list, so their weights are small whatever the corpus holds; sums
 are aggregated before they are shuffled.
 
@@ -72,11 +78,39 @@ def templates() -> list[tuple[str, str]]:
     return out
 
 
+#: SPDX families whose identifiers may end in -only, -or-later or +.
+_FAMILIES = {"GPL": ("1.0", "2.0", "3.0"), "LGPL": ("2.0", "2.1", "3.0"), "AGPL": ("1.0", "3.0")}
+
+
+def spdx_ids() -> dict[str, str]:
+    """Licence of each SPDX identifier, letters and digits in lower case."""
+    ids = {name: name for name, _ in templates() if name not in ("Public-Domain", "Proprietary")}
+    for family, versions in _FAMILIES.items():
+        ids |= {f"{family}-{v}{end}": f"{family}-{v}" for v in versions for end in ("", "-only", "-or-later")}
+    return {re.sub("[^a-z0-9]", "", k.lower()): v for k, v in ids.items()}
+
+
 #: A text that holds none of these has no licence of its own.
 MENTION = r"(?i)(licen[cs]|copyright|public domain|creative commons|permission is hereby|redistribution)"
 #: Ends of sentences and lines.
 BREAK = r"\n|[.;!?][ \t\r\f\n]+"
 TERM = "[A-Za-z0-9]+"
+#: Sentences between two mentions that a run may take in; the longest template has four, and addresses or stray stops add some.
+RUN = 6
+_MARK = r"(?://+|#+|--+|;+|%+|\*+|!+|dnl\b|REM\b)"
+#: Replaced in this order, so that an empty line ends each comment and each copyright line, and lines of a paragraph hold text alone.
+_BARE = (
+    (r"\r\n?", "\n"),
+    (r"/\*+|\*+/|<!--|-->|\"{3}|'{3}", "\n\n"),
+    (rf"(?dm)^([ \t]*{_MARK}[^\n]*)\n(?![ \t]*{_MARK})", "$1\n\n"),
+    (rf"(?dm)^[ \t]*(?:{_MARK}[ \t]*){{0,3}}(?:\(?(?:[0-9]{{1,2}}|[a-z])[.)][ \t]+)?", ""),
+    (r"(?dim)^(copyright[ \t]+(?:\(c\)|\u00a9|[0-9]{4})[^\n]*)$", "\n$1\n"),
+    (r"(?dm)^[^A-Za-z0-9\n]+$", ""),
+)
+SEGMENT = r"\n{2,}|[.;!?][ \t\f\n]+"
+SPDX_LINE = r"(?i)SPDX-License-Identifier:[ \t]*([^\r\n]*)"
+#: Before the letters and digits of an identifier, in a term that stands for it alone.
+SPDX_TERM = "spdxidentifier"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 
 
@@ -103,6 +137,26 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
 
+def segments(text: Column) -> Column:
+    """The sentences of a text without comment marks, lines of a paragraph joined."""
+    for pattern, by in _BARE:
+        text = F.regexp_replace(text, pattern, by)
+    return F.split(text, SEGMENT)
+
+
+def runs(parts: Column, at: Column) -> Column:
+    """Up to RUN adjacent parts joined, from and to those at the given places."""
+    ends = lambda i, k: F.filter(F.slice(at, k + 1, RUN), lambda j: j < i + RUN)
+    return F.flatten(F.transform(at, lambda i, k: F.transform(ends(i, k), lambda j: F.array_join(F.slice(parts, i + 1, j - i + 1), " "))))
+
+
+def identifiers(text: Column) -> Column:
+    """A term for each word of the SPDX lines of a text."""
+    tokens = lambda line: F.regexp_extract_all(line, F.lit("([A-Za-z0-9.+-]+)"))
+    found = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(SPDX_LINE)), tokens))
+    return F.transform(found, lambda x: F.concat(F.lit(SPDX_TERM), F.regexp_replace(F.lower(x), "[^a-z0-9]", "")))
+
+
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on keys of which any may be null."""
     right = right.withColumnsRenamed({k: f"_{k}" for k in keys})
@@ -113,22 +167,33 @@ def scan(files: DataFrame, least: float = LEAST, id_col: str = "doc_id", path_co
     """doc_id, path, license, how ('own', 'inherited' or null), cosine, from_dir for each (doc_id, path)."""
     spark = files.sparkSession
     rows, idf, unknown = weights()
+    n, ids, later = len(templates()), spdx_ids(), Counter(re.findall(TERM, _gnu("Lesser General Public License", 2).lower()) + ["1"])
+    norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in later.items()))
+    rows += [(n, "LGPL-2.1", t, k * idf[t] / norm) for t, k in sorted(later.items())]
+    rows += [(n + 1 + i, name, SPDX_TERM + x, 1.0) for i, (x, name) in enumerate(sorted(ids.items()))]
+    idf = idf | {SPDX_TERM + x: unknown for x in ids}
     vectors = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{name}', '{t}', {w!r}D)" for i, name, t, w in rows) + " AS t(template, license, term, weight)")
     known = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{t}', {w!r}D)" for t, w in idf.items()) + " AS t(term, idf)")
     files = files.select(files[id_col].cast("long").alias("doc_id"), files[path_col].cast("string").alias("path"), files[text_col].cast("string").alias("text"))
     names = files.select("doc_id", "path").distinct()
     sentences = F.filter(F.split("text", BREAK), lambda s: s.rlike(MENTION))
-    units = files.where(F.col("text").rlike(MENTION)).select("doc_id", "path", F.posexplode(F.concat(F.array("text"), sentences)).alias("unit", "said"))
-    units = units.withColumn("unit", F.when(F.col("unit") > 0, F.xxhash64("said")).otherwise(F.lit(0)))  # a sentence said twice is one unit
     # The one shuffle of text, of documents that mention licensing: all sums up to a document's best template stay in its partition.
-    units = units.repartition("doc_id", "path")
+    mentions = files.where(F.col("text").rlike(MENTION)).repartition("doc_id", "path").withColumn("parts", segments(F.col("text")))
+    places = F.filter(F.transform("parts", lambda s, i: F.when(s.rlike(MENTION), i)), lambda i: i.isNotNull())
+    mentions = mentions.withColumn("at", places)
+    said = F.concat(F.array("text"), sentences, runs(F.col("parts"), F.col("at")), identifiers(F.col("text")))
+    units = mentions.select("doc_id", "path", F.posexplode(said).alias("unit", "said"))
+    units = units.withColumn("unit", F.when(F.col("unit") > 0, F.xxhash64("said")).otherwise(F.lit(0)))  # a sentence said twice is one unit
     terms = units.select("doc_id", "path", "unit", F.explode(F.regexp_extract_all("said", F.lit(f"({TERM})"))).alias("term"))
     tf = terms.groupBy("doc_id", "path", "unit", F.lower("term").alias("term")).agg(F.count("*").alias("tf"))
     # Both tables are of fixed size: the templates are part of this module.
     weighed = tf.join(F.broadcast(known), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     # What is listed for a unit is at most the templates' terms.
     listed = F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "x"))).alias("listed")
-    vectored = weighed.groupBy("doc_id", "path", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), listed)
+    held = F.sqrt(F.sum(F.when(F.col("idf").isNotNull(), F.col("x") * F.col("x")))).alias("held")
+    vectored = weighed.groupBy("doc_id", "path", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), held, listed)
+    # No cosine is greater than the share of the norm that terms of templates have.
+    vectored = vectored.where(F.col("held") >= (least - 1e-5) * F.col("norm"))
     dots = vectored.select("doc_id", "path", "unit", "norm", F.inline("listed")).join(F.broadcast(vectors), "term").groupBy("doc_id", "path", "unit", "norm", "template", "license")
     cosine = F.round(F.sum(F.col("x") * F.col("weight")) / F.col("norm"), 6)
     close = dots.agg(cosine.alias("cosine")).select("doc_id", "path", "unit", "license", "cosine").where(F.col("cosine") >= least)

@@ -331,6 +331,35 @@ def test_licenses_sql_agrees(spark):
     assert sorted(map(str, map(tuple, licenses.scan(files).collect()))) == sorted(map(str, want))
 
 
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+
+
+def test_licenses_in_wrapped_headers(spark):
+    import textwrap
+
+    mit, bsd = licenses._MIT.replace("(the Software)", '(the "Software")'), dict(licenses.templates())["BSD-3-Clause"]
+    mit = [*mit.partition(" The above")[::2]]
+    mit[1] = "The above" + mit[1]
+    bsd = [bsd.partition(" Redistributions of")[0], *(f"{k}. {x}" for k, x in enumerate(re.findall(r"Redistributions [^.]*\.|Neither .*", bsd), 1))]
+    gnu = lambda name, v: [licenses._gnu(name, v), "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.", "You should have received a copy of the GNU General Public License along with this program."]
+    want, texts = {}, {}
+    notices = {"MIT": [*mit, _AS_IS], "ISC": [licenses._ISC, _AS_IS], "BSD-3-Clause": [*bsd, _AS_IS], "GPL-3.0": gnu("General Public License", 3), "LGPL-2.1": gnu("Lesser General Public License", 2.1), "AGPL-3.0": gnu("Affero General Public License", 3)}
+    code = "\n".join(f"value_{i} = compute(value_{i - 1}, {i}); // step {i}" for i in range(1, 181))
+    styles = ((" * ", "/*\n", "\n */\n"), ("# ", "", "\n"), ("// ", "", "\n"), ("", "/* ", " */\n"))
+    for name, paragraphs in notices.items():
+        for mark, before, after in styles:
+            for gap in ("\n\n", "\n"):
+                body = gap.join("\n".join(textwrap.wrap(p, 74)) for p in ["Copyright (c) 2021 Ann Other and Some Contributors. All rights reserved.", *paragraphs])
+                want[len(texts)], texts[len(texts)] = name, before + "\n".join((mark + line).rstrip() for line in body.split("\n")) + after + code
+    ids = {"GPL-3.0-or-later": "GPL-3.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0+": "GPL-2.0", "LGPL-2.1-only": "LGPL-2.1", "AGPL-3.0-only": "AGPL-3.0", "MPL-2.0": "MPL-2.0", "(Apache-2.0 AND X-1.0)": "Apache-2.0", "BSL-1.1": None, "LGPL-2.7-only": None}
+    for x, name in ids.items():
+        want[len(texts)], texts[len(texts)] = name, f"/* SPDX-License-Identifier: {x} */\n" + code
+    want[len(texts)], texts[len(texts)] = None, "# a licence is needed here\n" + code + "\n# copyright notice and permission notice\n"
+    files = spark.createDataFrame([(i, f"/s/{i}.c", t) for i, t in texts.items()], "doc_id long, path string, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(files).collect()}
+    assert {texts[i][:300]: x for i, x in got.items() if x != want[i]} == {} and len(got) == len(texts)
+
+
 # --- 10 --------------------------------------------------------------------
 
 
