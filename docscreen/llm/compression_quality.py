@@ -3,7 +3,8 @@
 Repetitive text compresses to far less of its size than prose does, noise to far more.
 The usual ratio depends on the length (a short text has little history to refer to),
 so each length class has limits of its own. Chunks of a fixed size find a repetitive or
-incompressible stretch inside a long document whose whole ratio looks usual.
+incompressible stretch inside a document whose whole ratio looks usual; they start at each
+multiple of the size, and one more ends where the text ends.
 
 Defined results: a null or empty text has no words, ratio null and fails the base rule;
 a text below the least measured length has no band and passes it; repeated rows are
@@ -41,7 +42,7 @@ class Band:
 
 #: Limits for whole documents, by length; the last class that a text reaches holds.
 DOCUMENT_BANDS = (Band(256, 0.30, 0.90), Band(1024, 0.20, 0.75), Band(4096, 0.16, 0.65), Band(16384, 0.12, 0.60))
-#: Limits for chunks of CHUNK bytes; shorter tails are covered by the whole document's ratio.
+#: Limits for chunks of CHUNK bytes, for texts of at least one chunk; the last chunk ends with the text.
 CHUNK = 4096
 CHUNK_BAND = Band(CHUNK, 0.12, 0.68)
 
@@ -82,8 +83,9 @@ def judge(pack, raw: bytes, bands: tuple[Band, ...], chunk: int, chunk_band: Ban
     band = band_for(len(raw), bands)
     ok = band is None or band.low <= ratio <= band.high
     low = high = None
-    if len(raw) >= 2 * chunk:
-        ratios = [len(pack(raw[i : i + chunk])) / chunk for i in range(0, len(raw) - chunk + 1, chunk)]
+    if len(raw) >= chunk:
+        starts = [*range(0, len(raw) - chunk, chunk), len(raw) - chunk]
+        ratios = [len(pack(raw[i : i + chunk])) / chunk for i in starts]
         low, high = min(ratios), max(ratios)
         ok = ok and chunk_band.low <= low and high <= chunk_band.high
     return ok, ratio, low, high

@@ -386,6 +386,20 @@ def test_quality(spark, corpus):
     assert kept[13] and kept[4] and not kept[101] and not kept[102] and not kept[103] and not kept[6] and compression_quality.quality(make(spark, [])).count() == 0
 
 
+def test_quality_of_tails_and_short_texts(spark):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(3000)]
+    fill = lambda n: " ".join(r.choices(vocabulary, k=n))[:n]
+    noise = base64.b85encode(r.randbytes(4000)).decode()
+    noise = " ".join(noise[i : i + 7] for i in range(0, 4000, 7))[:4000]
+    size = compression_quality.CHUNK
+    rows = [(1, fill(15 * size) + noise), (2, fill(15 * size) + "spam " * 800), (3, fill(size) + noise), (4, noise + fill(size)), (5, fill(15 * size + 4000)), (6, fill(size)), (7, fill(2 * size - 1)), (8, fill(size - 1))]
+    got = {x.doc_id: x for x in compression_quality.quality(make(spark, rows)).collect()}
+    assert {i: x.kept for i, x in got.items()} == {1: False, 2: False, 3: False, 4: False, 5: True, 6: True, 7: True, 8: True}
+    assert got[6].worst_low_chunk == got[6].worst_high_chunk == got[6].ratio and got[7].worst_low_chunk and got[8].worst_low_chunk is None
+    assert not any(got[i].base_failed for i in got)
+
+
 # --- pipeline --------------------------------------------------------------
 
 
