@@ -7,7 +7,9 @@ equal values get equal pseudonyms in every document whatever their separators, d
 values get different ones, and who holds the key can invert them. Values that fail their
 check, such as 16 digits with a wrong check digit, are left alone.
 
-Kinds: email (local part), phone, ip, card, iban, ssn, date, secret (hexadecimal tokens).
+Kinds: email (local part), phone, ip, card, iban, ssn, date, secret (hexadecimal tokens). A
+token in upper case gets its lower-case form's pseudonym in upper case. One in mixed case
+keeps its pattern of digits and cases instead, since a digit can't carry the case back.
 
 Defined results: a null text stays null, an empty one empty; repeated rows are each
 rewritten alike; other columns pass unchanged if named in ``keep``, else are left out.
@@ -176,12 +178,16 @@ def _date(v: str, p: Permutation, back: bool) -> str | None:
 
 
 _HEX = {c: "0123456789abcdef" for c in "0123456789abcdef"}
+_MIXED_HEX = {c: k for k in ("0123456789", "abcdef", "ABCDEF") for c in k}
 
 
 def _secret(v: str, p: Permutation, back: bool) -> str | None:
-    if not re.search("[0-9]", v) or not re.search("[a-f]", v):
+    if not re.search("[0-9]", v) or not re.search("[a-fA-F]", v):
         return None
-    return by_class(v, p, "secret", back, _HEX)
+    if v not in (v.lower(), v.upper()):
+        return by_class(v, p, "secret|mixed", back, _MIXED_HEX)
+    new = by_class(v.lower(), p, "secret", back, _HEX)
+    return new.upper() if v.isupper() else new
 
 
 _RULES: dict[str, Callable[[str, Permutation, bool], str | None]] = {
@@ -192,7 +198,7 @@ _EMAIL = re.compile(r"(?<![\w.%+-])(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z
 #: Tried in this order at a place where a value can begin.
 _NUMBERS = re.compile(
     r"""(?<![\w.+-])(?:
-      (?P<secret>[0-9a-f]{32,64})(?!\w)
+      (?P<secret>[0-9a-fA-F]{32,64})(?!\w)
     | (?P<phone>\+\d{1,3}[ -]?(?:\(\d{2,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,3})(?![\w-])
     | (?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w-]|\.\d)
     | (?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])

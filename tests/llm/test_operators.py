@@ -194,6 +194,16 @@ def test_pii(spark):
     assert got[2].text is None and got[3].text == "" and pii.pseudonymize(make(spark, [])).count() == 0
 
 
+def test_pii_secrets_of_any_case():
+    p, low = pii.Permutation(b"k"), "9233a8ec00deadbeef00deadbeef00de"
+    mixed = "9233A8ec" + low[8:]
+    text = f"{low} {low.upper()} {mixed} key={mixed}. {'A' * 40} {'7' * 40}"
+    new, found = pii.rewrite(text, p)
+    a, b, c, d, *rest = new.split()
+    assert found["secret"] == 4 and a != low and b == a.upper() and d == f"key={c}." and c != mixed and rest == ["A" * 40, "7" * 40]
+    assert [x.isalpha() + 2 * x.isupper() for x in c] == [x.isalpha() + 2 * x.isupper() for x in mixed] and pii.rewrite(new, p, True)[0] == text
+
+
 @pytest.mark.parametrize("n", [2, 3, 10, 97, 1000])
 def test_permutation(n):
     p = pii.Permutation(b"key")
