@@ -187,6 +187,15 @@ def _confirm(percent: int):
     return run
 
 
+def _shared(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Star edges between the classes that hold texts of one doc_id."""
+    texts = signed.where("doc_id is not null and digest is not null").select("doc_id", "digest")
+    several = texts.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("low"), F.max(F.xxhash64("digest")).alias("high")).where("low <> high").select("doc_id")
+    held = texts.join(several, "doc_id").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
+    least = held.groupBy("doc_id").agg(F.min("rep").alias("least"))
+    return held.join(least, "doc_id").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, hot: int = HOT, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -211,7 +220,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, hot: int = HOT, block: i
         .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "text")
     )
     placed = placed.repartition(partitions, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    links = components(map_arrow(placed, _confirm(percent), "a long, b long"))
+    shared = materialize(_shared(signed, classes), "shared")  # apart, or its stages keep Spark from broadcasting small clusters to the texts
+    links = components(map_arrow(placed, _confirm(percent), "a long, b long").unionAll(shared))
     found = classes.select("digest", "rep").join(links.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     result = signed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

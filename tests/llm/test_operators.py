@@ -277,6 +277,13 @@ def test_near_dedup(spark, corpus, hot, block):
     assert near_dedup.near_duplicates(make(spark, [])).count() == 0
 
 
+def test_near_dedup_joins_the_texts_of_an_id(spark):
+    a, b, c, d = (prose(90 + k, 60) for k in range(4))
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (9, c), (9, ""), (10, d), (7, d), (None, d), (11, ""), (2, None)]
+    got = near_dedup.near_duplicates(make(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == plain_components(rows) == {3: 3, 5: 3, 7: 3, 10: 3, 8: 8, 9: 8, 11: 11, 2: 2} and len(got) == len(rows)
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (200, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(path, "a long, b long")).collect()}
