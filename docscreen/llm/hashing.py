@@ -6,7 +6,6 @@ import numpy as np
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -35,7 +34,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(raw: bytes, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of each word of ``[^\\x20\\x09-\\x0D]+``; fold lower-cases A-Z first."""
+    """Hash, first byte and end of each word of ``[^\\x20\\x09-\\x0D]+``; fold lower-cases A-Z first.
+
+    A word of up to eight bytes is its own number before it is mixed, so such words never
+    collide with one another; one of up to 16 is two numbers, a longer one its xxHash.
+    """
     b = np.frombuffer(raw, np.uint8)
     if fold:
         b = _FOLD[b]
@@ -45,10 +48,21 @@ def word_hashes(raw: bytes, fold: bool = False) -> tuple[np.ndarray, np.ndarray,
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
         return np.zeros(0, np.uint64), start, end
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + _U(1)) * powers(_INVERSE, len(b)), out=sums[1:])
-    value = (sums[end] - sums[start]) * powers(_BASE, len(b))[start]
-    return mix(value ^ ((end - start).astype(np.uint64) << _U(56))), start, end
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([b, np.zeros(16, np.uint8)]), 8)
+    size = end - start
+    keep = _U(0xFFFFFFFFFFFFFFFF) >> (_U(64) - _U(8) * np.clip(size, 1, 8).astype(np.uint64))
+    value = mix((eights[start].view("<u8")[:, 0] & keep) + _U(_BASE))
+    two = np.flatnonzero((size > 8) & (size <= 16))
+    if len(two):
+        keep = _U(0xFFFFFFFFFFFFFFFF) >> (_U(64) - _U(8) * (size[two] - 8).astype(np.uint64))
+        value[two] = mix(value[two] * _U(_BASE) ^ mix((eights[start[two] + 8].view("<u8")[:, 0] & keep) + size[two].astype(np.uint64)))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        import xxhash
+
+        view = memoryview(b)
+        value[long] = [xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(start[long].tolist(), end[long].tolist())]
+    return value, start, end
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -19,7 +19,7 @@ other columns are ignored. What is left may be no valid UTF-8, so it is kept as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_arrow
 from .hashing import mix, powers
-from .repeats import HOT, NO_ID, Plan, merged, spans
+from .repeats import MOST, Plan, fingerprint, id_of, merged, spans
 
 LENGTH, GRAM = 200, 32
 _U = np.uint64
@@ -131,11 +131,17 @@ def _neighbours(text: np.ndarray, size: np.ndarray, group: np.ndarray, order: np
     return np.concatenate([[-1], np.where(same, true, -1)])
 
 
-def plan(length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> Plan:
-    return Plan(length, gram, symbols, grams, classes, "any", np.uint8, hot)
+def both(hulls: list[bytes], at: np.ndarray, group: np.ndarray, right: int, left: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the bytes from place ``at`` of each hull on, and of those before it read backwards."""
+    rows = [symbols(x) for x in hulls]
+    return classes([x[k:] for x, k in zip(rows, at)], group, right), classes([x[:k][::-1] for x, k in zip(rows, at)], group, left)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def plan(length: int = LENGTH, gram: int = GRAM, most: int = MOST, fingerprint: Callable = fingerprint) -> Plan:
+    return Plan(length, gram, str.encode, symbols, None, grams, both, "any", most, fingerprint)
+
+
+def remove_repeats(docs: DataFrame, cut: Plan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,13 +150,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows = []
-            for d, packed, found in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
-                raw, cut = unpack(packed.as_py()), merged(found.as_py())
-                ends = [0, *(e for _, e in cut)]
-                kept = b"".join(raw[a:e] for a, e in zip(ends, [*(s for s, _ in cut), len(raw)])) if cut else raw
-                rows.append((None if d == NO_ID else d, len(raw), len(raw) - len(kept), len(cut), kept))
+            for d, v, packed, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                raw, gone = unpack(packed.as_py()), merged(found.as_py())
+                ends = [0, *(e for _, e in gone)]
+                kept = b"".join(raw[a:e] for a, e in zip(ends, [*(s for s, _ in gone), len(raw)])) if gone else raw
+                rows.append((id_of(d, v), len(raw), len(raw) - len(kept), len(gone), kept))
             kinds = [pa.int64()] * 4 + [pa.binary()]
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return map_arrow(spans(docs, plan(length, gram, hot), id_col, text_col), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_arrow(spans(docs, cut or plan(), id_col, text_col), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
