@@ -7,8 +7,10 @@ equal values get equal pseudonyms in every document whatever their separators, d
 values get different ones, and who holds the key can invert them. Values that fail their
 check, such as 16 digits with a wrong check digit, are left alone.
 
-Kinds: email (local part), phone, ip, card, iban, ssn, date, secret (hexadecimal tokens). A
-token in upper case gets its lower-case form's pseudonym in upper case. One in mixed case
+Kinds: email (local part), phone, ip, card, iban, ssn, date, secret (hexadecimal tokens).
+Phone numbers begin with "+"; all spellings of one number have one pseudonym, since what is
+permuted are the digits after the country code. Numbers without "+" are left alone. Dates
+are read day first; one that is valid only month first is left alone. A letter of any script is permuted among the letters of its case nearby in Unicode. A token in upper case gets its lower-case form's pseudonym in upper case. One in mixed case
 keeps its pattern of digits and cases instead, since a digit can't carry the case back.
 
 Defined results: a null text stays null, an empty one empty; repeated rows are each
@@ -20,8 +22,10 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +33,6 @@ from pyspark.sql import types as T
 
 from .common import map_arrow
 
-#: Placeholder key of the registered queries; production passes its own.
-DEFAULT_KEY = b"change-me"
 KINDS = ("email", "phone", "ip", "card", "iban", "ssn", "date", "secret")
 ROUNDS = 8
 DATE_FROM, DATE_TO = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
@@ -43,9 +45,10 @@ class Permutation:
         self.key = hashlib.sha256(key).digest()
 
     def _round(self, tweak: str, i: int, half: int, bits: int) -> int:
-        size = (bits + 7) // 8
-        h = hashlib.blake2b(f"{tweak}|{i}|{half}".encode(), key=self.key, digest_size=min(64, size + 8))
-        return int.from_bytes(h.digest(), "big") & ((1 << bits) - 1)
+        """bits of key stream: as many digests as they take."""
+        seed = hashlib.blake2b(f"{tweak}|{i}|{half:x}".encode(), key=self.key, digest_size=64).digest()
+        out = seed if bits <= 512 else b"".join(hashlib.blake2b(seed + k.to_bytes(4, "big"), key=self.key, digest_size=64).digest() for k in range(-(-bits // 512)))
+        return int.from_bytes(out, "big") & ((1 << bits) - 1)
 
     def __call__(self, x: int, n: int, tweak: str, back: bool = False) -> int:
         if n < 2:
@@ -66,13 +69,27 @@ class Permutation:
 
 
 #: Character classes that a value's format keeps.
-_CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])))
+_CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _CLASS_OF = {c: k for k in _CLASSES for c in k}
 
 
-def by_class(value: str, permute: Permutation, tweak: str, back: bool = False, classes: dict[str, str] = _CLASS_OF) -> str:
+@lru_cache(4096)
+def class_of(c: str) -> str:
+    """The characters that c may become: a letter, digit or mark of its kind and case, from the least stretch of Unicode around it that has several. Others stay."""
+    if c in _CLASS_OF or unicodedata.category(c)[0] not in "LMN":
+        return _CLASS_OF.get(c, c)
+    kind = unicodedata.category(c)
+    for size in (0x40, 0x100, 0x1000, 0x10000):
+        first = ord(c) // size * size
+        near = "".join(chr(x) for x in range(max(0x80, first), first + size) if unicodedata.category(chr(x)) == kind)
+        if len(near) > 1:
+            return near
+    return c
+
+
+def by_class(value: str, permute: Permutation, tweak: str, back: bool = False, classes: Callable[[str], str] = class_of) -> str:
     """Permute a string among those with the same character class at each place."""
-    radix = [classes.get(c, c) for c in value]
+    radix = [classes(c) for c in value]
     x, n = 0, 1
     for c, r in zip(value, radix):
         x, n = x * len(r) + r.index(c), n * len(r)
@@ -111,13 +128,18 @@ def _email(v: str, p: Permutation, back: bool) -> str | None:
     return by_class(local, p, "email", back) + "@" + domain
 
 
+#: Country calling codes of one and two digits; all others have three.
+_COUNTRY = re.compile("1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
+
+
 def _phone(v: str, p: Permutation, back: bool) -> str | None:
-    country = re.match(r"\+\d{1,3}(?=[ -(])|\+", v)[0]
-    rest = _digits(v[len(country) :])
-    if not 8 <= len(rest) + len(_digits(country)) <= 15:
+    digits = _digits(v)
+    country = _COUNTRY.match(digits)
+    if not country or not 8 <= len(digits) <= 15:
         return None
-    x = p(int(rest), 10 ** len(rest), f"phone|{country}|{len(rest)}", back)
-    return country + refill(v[len(country) :], f"{x:0{len(rest)}d}")
+    number = digits[country.end() :]
+    x = p(int(number), 10 ** len(number), f"phone|{country[0]}|{len(number)}", back)
+    return refill(v, f"{country[0]}{x:0{len(number)}d}")
 
 
 def _ip(v: str, p: Permutation, back: bool) -> str | None:
@@ -185,8 +207,8 @@ def _secret(v: str, p: Permutation, back: bool) -> str | None:
     if not re.search("[0-9]", v) or not re.search("[a-fA-F]", v):
         return None
     if v not in (v.lower(), v.upper()):
-        return by_class(v, p, "secret|mixed", back, _MIXED_HEX)
-    new = by_class(v.lower(), p, "secret", back, _HEX)
+        return by_class(v, p, "secret|mixed", back, _MIXED_HEX.__getitem__)
+    new = by_class(v.lower(), p, "secret", back, _HEX.__getitem__)
     return new.upper() if v.isupper() else new
 
 
@@ -199,7 +221,7 @@ _EMAIL = re.compile(r"(?<![\w.%+-])(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z
 _NUMBERS = re.compile(
     r"""(?<![\w.+-])(?:
       (?P<secret>[0-9a-fA-F]{32,64})(?!\w)
-    | (?P<phone>\+\d{1,3}[ -]?(?:\(\d{2,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,3})(?![\w-])
+    | (?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,3})(?![\w-])
     | (?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w-]|\.\d)
     | (?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])
     | (?P<date>(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}\.\d{1,2}\.\d{4}))(?![\w-]|\.\d)
@@ -236,7 +258,7 @@ def rewrite(text: str | None, permute: Permutation, back: bool = False) -> tuple
     return text, found
 
 
-def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", back: bool = False) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", back: bool = False) -> DataFrame:
     """The keep columns, text with pseudonyms, and n_<kind> for each kind; one row for each row of docs, no shuffle.
 
     back: invert the pseudonyms instead.

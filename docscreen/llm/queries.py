@@ -18,6 +18,11 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The secret key of the pseudonyms, from spark.docscreen.pii.key; the registered queries run with a placeholder where it is unset."""
+    return spark.conf.get("spark.docscreen.pii.key", "placeholder of the registered queries").encode()
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -39,7 +44,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.pseudonymize(table(spark, sf_dir, "documents"))
+    found = pii.pseudonymize(table(spark, sf_dir, "documents"), pii_key(spark))
     counts = [F.col(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", "text", sum(counts[1:], counts[0]).alias("n_replaced"), *counts)
 
