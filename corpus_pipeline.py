@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docscreen.llm import decontamination, near_dedup, pii, sentencepiece_codec, toxicity
 from docscreen.llm.common import materialize, table
-from docscreen.llm.queries import model_path
+from docscreen.llm.queries import model_path, pii_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least Jaccard index, in percent, of shingles that makes two documents near duplicates; op7's contract of 85 binds that query alone.
@@ -35,7 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with pseudonyms for personal data."""
-    hidden = pii.pseudonymize(docs, keep=tuple(c for c in COLUMNS if c not in ("text", "n_chars")))
+    hidden = pii.pseudonymize(docs, pii_key(spark), keep=tuple(c for c in COLUMNS if c not in ("text", "n_chars")))
     return hidden.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
