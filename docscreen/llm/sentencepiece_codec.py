@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -49,10 +50,10 @@ def check_vocabulary(model_file: str) -> None:
 class ChunkTable:
     """Ids (decimal, joined by commas) and decoded text of chunks, each distinct chunk segmented once."""
 
-    def __init__(self, model_file: str, table_chars: int = TABLE_CHARS):
+    def __init__(self, model: bytes, table_chars: int = TABLE_CHARS):
         import sentencepiece
 
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.mark_id = self.sp.piece_to_id(MARK)
         self.left = self.room = table_chars
         self.ids: dict[str, str] = {}
@@ -96,9 +97,10 @@ class ChunkTable:
 def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: n_tokens, ids (decimal, joined by commas), decoded; no shuffle."""
     check_vocabulary(model_file)
+    model = docs.sparkSession.sparkContext.broadcast(Path(model_file).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(model_file)
+        table = ChunkTable(model.value)
         for b in batches:
             n, ids, decoded = [], [], []
             for text in b.column(1):

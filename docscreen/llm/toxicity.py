@@ -1,11 +1,14 @@
 """Toxicity by weak supervision.
 
-Many voters (words of lexicons, word beginnings that labelled rows show, and patterns) each say toxic, clean or nothing of a text. A
-generative label model estimates by expectation maximization how each votes given the true
-label, and which voters repeat one another given it; correlated voters share their weight.
-The given labels are one more voter, of the documents they cover, whose errors are estimated
-like any other's. The posterior labels train a logistic regression on the voters' features,
-which scores every document from its text alone.
+Many voters (words of lexicons, word beginnings, and patterns) each say toxic, clean or
+nothing of a text. A generative label model estimates by expectation maximization how each
+votes given the true label, and which voters repeat one another given it; correlated voters
+share their weight. The given labels are one more voter, of the documents they cover, whose
+errors are estimated like any other's. The posterior labels train a logistic regression on
+the voters' features, which scores every document from its text alone.
+
+This is done twice. The first model, of lexicons, patterns and given labels, gives each
+sampled text a posterior; word beginnings that go with it become voters of the second.
 
 The model is fitted on a bounded sample of labelled rows: those with the ``sample`` least
 hashes of doc_id among the rows that may be learned from. Everything else is one pass over
@@ -55,11 +58,14 @@ PLACE = {w: i for i, w in enumerate(WORDS)}
 GROUP_OF = {w: g for g, (_, group) in enumerate(LEXICONS.items()) for w in group}
 PATTERNS = ("second_person", "shouting", "exclaiming", "censored", "two_kinds", "dense", "no_word")
 
-#: Word beginnings are voters too, where the labelled rows show that toxic texts use them: of these lengths, said so often.
+#: Word beginnings are voters too, where they go with the posterior of the first label model: of these lengths, said so often.
 STEM_LENGTHS, STEM_COUNTS = (4, 5, 6, 7), (1, 2, 4)
 #: Most such voters, least number of toxic texts for each, and least chi-square.
 STEMS, STEM_SUPPORT, STEM_CHI2 = 60, 6, 30.0
 
+#: Pseudo-counts of the given label's accuracy, whatever the number of rows.
+LABELLED = 100.0
+
 _TOKEN = re.compile(r"\w+")
 _CENSORED = re.compile(r"\b[A-Za-z][*#@$%!]{2,}\b|\b[A-Za-z]\*+[A-Za-z]+")
 _UPPER = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b")
@@ -113,23 +119,35 @@ class Voters:
         return votes, x
 
 
-def stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (y, text): in how many texts of each label each stem begins at least so many words."""
-    found: dict[tuple[str, int], list[int]] = {}
-    for b in batches:
-        for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            each: Counter = Counter()
-            for w, n in Counter(_TOKEN.findall((text or "").lower())).items():
-                for size in STEM_LENGTHS:
-                    if len(w) >= size:
-                        each[w[:size]] += n
-            for stem, n in each.items():
-                for c in STEM_COUNTS:
-                    if n >= c:
-                        found.setdefault((stem, c), [0, 0])[y] += 1
-    keys = list(found)
-    cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([found[k][y] for k in keys], pa.int64()) for y in (0, 1))]
-    yield pa.RecordBatch.from_arrays(cols, ["stem", "least", "clean", "toxic"])
+def stem_counts(model: LabelModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From (y, votes, text): in how many texts of each kind, by their posterior, each stem begins at least so many words."""
+        found: dict[tuple[str, int], list[float]] = {}
+        for b in batches:
+            q = model.posterior(with_labels(b.column(1).to_pylist(), b.column(0).to_numpy()))
+            for toxic, text in zip(q.tolist(), b.column(2)):
+                each: Counter = Counter()
+                for w, n in Counter(_TOKEN.findall((text.as_py() or "").lower())).items():
+                    for size in STEM_LENGTHS:
+                        if len(w) >= size:
+                            each[w[:size]] += n
+                for stem, n in each.items():
+                    for c in STEM_COUNTS:
+                        if n >= c:
+                            both = found.setdefault((stem, c), [0.0, 0.0])
+                            both[0] += 1 - toxic
+                            both[1] += toxic
+        keys = list(found)
+        cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([found[k][y] for k in keys], pa.float64()) for y in (0, 1))]
+        yield pa.RecordBatch.from_arrays(cols, ["stem", "least", "clean", "toxic"])
+
+    return run
+
+
+def with_labels(votes: list[bytes], y: np.ndarray) -> np.ndarray:
+    """Votes [row, voter], the given label as the last voter."""
+    given = np.where(y == 1, 1, -1).astype(np.int8)[:, None]
+    return np.hstack([np.frombuffer(b"".join(votes), np.int8).reshape(len(y), -1), given])
 
 
 def choose_stems(rows: list, most: int = STEMS) -> list[tuple[str, int]]:
@@ -165,10 +183,10 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def fit(self, votes: np.ndarray, rounds: int = 20, related: float = 0.2) -> LabelModel:
-        """The last voter is the given label: it names the classes, so it is held near its usual accuracy and keeps its weight, and the prior stays."""
+        """The last voter is the given label: it names the classes, so it begins as LABELLED votes of its usual accuracy would have it, keeps its weight, and the prior stays."""
         n, j = votes.shape
         base = self.start(j)
-        base[-1] = n * np.array([[0.15, 0.001, 0.85], [0.97, 0.001, 0.03]])
+        base[-1] = LABELLED * np.array([[0.15, 0.001, 0.85], [0.97, 0.001, 0.03]])
         self.like, self.weight = base / base.sum(2, keepdims=True), np.ones(j)
         one_hot = [votes == v for v in (-1, 0, 1)]
         for k in range(rounds):
@@ -239,30 +257,42 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     )
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     # ``chosen`` has at most ``sample`` rows: it may be broadcast, and what it gathers is of bounded size. Copies count once.
-    rows = materialize(texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("y").alias("y")).select("y", "text"), "toxicity-sample")
-    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not n:
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("y").alias("y")).select("y", "text")
+    rows = materialize(map_arrow(rows, _votes(Voters()), "y int, votes binary, text string"), "toxicity-sample")
+    given = rows.select("y", "votes").toArrow()
+    y = given["y"].to_numpy()
+    if not len(y):
         return Model(prior_weights())
-    toxic, clean = n.get(1, 0), n.get(0, 0)
-    a, b = F.col("toxic"), F.col("clean")
-    chi2 = (toxic + clean) * F.pow(a * (clean - b) - b * (toxic - a), F.lit(2)) / (F.lit(float(max(1, toxic * clean))) * (a + b) * (F.lit(float(toxic + clean)) - a - b + 1))
-    found = map_arrow(rows, stem_counts, "stem string, least int, clean long, toxic long").groupBy("stem", "least").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    found = found.where((a >= STEM_SUPPORT) & (a * clean > b * toxic)).withColumn("chi2", chi2.cast("double")).where(F.col("chi2") >= STEM_CHI2)
+    prior = float(np.clip(y.mean(), 0.01, 0.99))
+    first = LabelModel(prior=prior).fit(with_labels(given["votes"].to_pylist(), y))
+    a, b, total = F.col("toxic"), F.col("clean"), F.lit(float(len(y)))
+    toxic = float(first.posterior(with_labels(given["votes"].to_pylist(), y)).sum())
+    clean = len(y) - toxic
+    chi2 = total * F.pow(a * (clean - b) - b * (toxic - a), F.lit(2)) / (F.lit(max(1.0, toxic * clean)) * (a + b) * (total - a - b + 1))
+    found = map_arrow(rows, stem_counts(first), "stem string, least int, clean double, toxic double").groupBy("stem", "least").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = found.where((a >= STEM_SUPPORT) & (a * clean > b * toxic)).withColumn("chi2", F.round(chi2, 6)).where(F.col("chi2") >= STEM_CHI2)
     voters = Voters(choose_stems(found.orderBy(F.desc("chi2"), "stem", "least").limit(40 * STEMS).collect()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [voters.read(t) for t in batch.column(1).to_pylist()]
+            both = [voters.read(t.as_py()) for t in batch.column(1)]
             v, x = (pa.array([row[k].tobytes() for row in both], pa.binary()) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), v, x], ["y", "votes", "x"])
 
-    got = map_arrow(rows, run, "y int, votes binary, x binary").toArrow()
-    y = got["y"].to_numpy()
-    votes = np.frombuffer(b"".join(got["votes"].to_pylist()), np.int8).reshape(-1, voters.n_votes)
+    got = map_arrow(rows.select("y", "text"), run, "y int, votes binary, x binary").toArrow()
+    votes = with_labels(got["votes"].to_pylist(), got["y"].to_numpy())
     x = np.frombuffer(b"".join(got["x"].to_pylist())).reshape(-1, voters.n_features)
-    all_votes = np.hstack([votes, np.where(y == 1, 1, -1).astype(np.int8)[:, None]])
-    model = LabelModel(prior=float(np.clip(y.mean(), 0.01, 0.99))).fit(all_votes)
-    return Model(fit_linear(x, model.posterior(all_votes)), voters, model, len(y))
+    model = LabelModel(prior=prior).fit(votes)
+    return Model(fit_linear(x, model.posterior(votes)), voters, model, len(y))
+
+
+def _votes(voters: Voters):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            votes = pa.array([voters.read(t.as_py())[0].tobytes() for t in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), votes, b.column(1)], ["y", "votes", "text"])
+
+    return run
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", score_col: str = "score") -> DataFrame:
