@@ -9,8 +9,8 @@ licence templates: terms are joined with the templates' weights and summed, so o
 that both hold are multiplied. The best template of at least ``least`` (0.8) is the
 document's own licence. A document that is a licence as a whole, or has a licence and a
 licence file's name, speaks for its directory. Documents without an own licence inherit
-from the nearest directory above them that has one: paths are joined with directories by
-each of their ancestors.
+from the nearest directory above them that has one: directories are joined with each of
+their ancestors, and files with their directory.
 
 The SQL twin has the whole text and single sentences and lines only: it agrees where no
 notice is wrapped and no line holds an SPDX identifier that the templates don't spell out.
@@ -34,6 +34,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 LEAST = 0.8
 
 _CC = {"BY": "Attribution", "BY-SA": "Attribution ShareAlike", "BY-NC": "Attribution NonCommercial", "BY-ND": "Attribution NoDerivatives", "BY-NC-SA": "Attribution NonCommercial ShareAlike", "BY-NC-ND": "Attribution NonCommercial NoDerivatives"}
@@ -131,9 +133,9 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def ancestors(path: Column) -> Column:
-    """All directories above a path, from the root ('') down."""
-    parts = F.split(parent(path), "/")
+def ancestors(folder: Column) -> Column:
+    """A directory and all above it, from the root ('') down."""
+    parts = F.split(folder, "/")
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
 
@@ -198,20 +200,27 @@ def scan(files: DataFrame, least: float = LEAST, id_col: str = "doc_id", path_co
     cosine = F.round(F.sum(F.col("x") * F.col("weight")) / F.col("norm"), 6)
     close = dots.agg(cosine.alias("cosine")).select("doc_id", "path", "unit", "license", "cosine").where(F.col("cosine") >= least)
     best = F.min(F.struct((-F.col("cosine")).alias("less"), "license"))
-    own = close.groupBy("doc_id", "path").agg(best.alias("best"), F.min(F.when(F.col("unit") == 0, F.struct((-F.col("cosine")).alias("less"), "license"))).alias("whole"))
+    own = materialize(close.groupBy("doc_id", "path").agg(best.alias("best"), F.min(F.when(F.col("unit") == 0, F.struct((-F.col("cosine")).alias("less"), "license"))).alias("whole")), "licences")
     speaks = F.coalesce("whole", F.when(F.col("path").rlike(FILE_NAME), F.col("best")))
     directories = own.where(F.col("path").isNotNull() & speaks.isNotNull()).groupBy(parent(F.col("path")).alias("dir"))
     directories = directories.agg(F.min(F.struct(speaks["less"].alias("less"), F.col("path"), speaks["license"].alias("license"))).alias("s")).select("dir", F.col("s.license").alias("dir_license"))
     found = _join(names, own, ["doc_id", "path"], "left").select("doc_id", "path", F.col("best.license").alias("own_license"), (-F.col("best.less")).alias("cosine"))
-    above = found.where("own_license is null and path is not null").select("doc_id", "path", F.posexplode(ancestors(F.col("path"))).alias("depth", "dir"))
-    nearest = above.join(directories, "dir").groupBy("doc_id", "path").agg(F.max(F.struct("depth", "dir", "dir_license")).alias("n"))
-    return _join(found, nearest, ["doc_id", "path"], "left").select(
+    # A directory's nearest licence is found once for each directory that holds files, not for each file;
+    # the root, above all of them, has one licence at most and is kept out of the join.
+    folders = files.where("path is not null").select(parent(F.col("path")).alias("folder")).distinct()
+    above = folders.select("folder", F.posexplode(ancestors(F.col("folder"))).alias("depth", "dir")).where("dir <> ''")
+    nearest = above.join(directories, "dir").groupBy("folder").agg(F.max(F.struct("depth", "dir", "dir_license")).alias("n"))
+    root = directories.where("dir = ''").select("dir", "dir_license").first() or (None, None)  # one row at most
+    resolved = folders.join(nearest, "folder", "left")
+    resolved = resolved.select("folder", F.coalesce("n.dir", F.lit(root[0])).alias("from_dir"), F.coalesce("n.dir_license", F.lit(root[1])).alias("dir_license")).where("from_dir is not null")
+    found = found.withColumn("_folder", F.when(F.col("own_license").isNull(), parent(F.col("path"))))
+    return found.join(resolved, F.col("_folder") == F.col("folder"), "left").select(
         "doc_id",
         "path",
-        F.coalesce("own_license", "n.dir_license").alias("license"),
-        F.when(F.col("own_license").isNotNull(), "own").when(F.col("n").isNotNull(), "inherited").alias("how"),
+        F.coalesce("own_license", "dir_license").alias("license"),
+        F.when(F.col("own_license").isNotNull(), "own").when(F.col("from_dir").isNotNull(), "inherited").alias("how"),
         "cosine",
-        F.col("n.dir").alias("from_dir"),
+        "from_dir",
     )
 
 
