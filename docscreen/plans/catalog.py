@@ -28,7 +28,7 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _screened(spark: SparkSession, d: str) -> DataFrame:
-    return written(spark, f"{d}|screened", lambda: pipeline.screen(_texts(spark, d)))
+    return written(spark, f"{d}|screened", [f"{d}/customer.parquet"], lambda: pipeline.screen(_texts(spark, d)))
 
 
 # --- machine-readable zone -------------------------------------------------
@@ -172,7 +172,7 @@ def date_normalize_iso(spark, d):
 
 def mrz_date_pivots(spark, d):
     c = F.substring("line2", 14, 6)
-    return _zones(spark, d).where("corruption <> 4").select("doc_id", *[dates.mrz_date(c, p, iso, ok).alias(n) for n, p, iso, ok in (("p50", 50, True, True), ("p40", 40, True, True), ("p30", 30, True, False), ("p50_dmy", 50, False, False))])
+    return _zones(spark, d).select("doc_id", *[dates.mrz_date(c, p, iso, ok).alias(n) for n, p, iso, ok in (("p50", 50, True, True), ("p40", 40, True, True), ("p30", 30, True, False), ("p50_dmy", 50, False, False))])
 
 
 def month_dates(spark, d):

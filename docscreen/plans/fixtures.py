@@ -139,7 +139,7 @@ def duck(sql: str) -> str:
 def frame(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
     """The table ``name`` that a fixture defines, over the Parquet files of sf_dir."""
     if sql in (MRZ, TEXT):
-        return written(spark, f"{sf_dir}|{name}", lambda: _frame(spark, sf_dir, sql, name))
+        return written(spark, f"{sf_dir}|{name}", [f"{sf_dir}/customer.parquet"], lambda: _frame(spark, sf_dir, sql, name))
     return _frame(spark, sf_dir, sql, name)
 
 

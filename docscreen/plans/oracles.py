@@ -206,7 +206,7 @@ _FORMULAS = f"""{TEXT}, f AS (SELECT doc_id, corruption AS c, 25.0::DOUBLE * (co
         CASE WHEN known = 0 THEN 0 ELSE CAST(least(round(good / known::DOUBLE * 100 * 0.6 + m * 0.4), 100) AS INT) END AS combiner,
         least(CASE WHEN m >= 80 THEN 40 WHEN m >= 60 THEN 30 WHEN m >= 40 THEN 20 ELSE 10 END + CASE WHEN ok THEN 20 ELSE 0 END + CASE WHEN c < 3 THEN 15 ELSE 0 END + CASE WHEN c < 5 THEN 15 ELSE 0 END + 5 + CASE WHEN c = 1 THEN 5 ELSE 0 END, 100) AS points FROM n)"""
 
-_PIVOT = "(SELECT doc_id, line2 AS line FROM mrz WHERE corruption <> 4)"
+_PIVOT = "(SELECT doc_id, line2 AS line FROM mrz)"
 _CER_GUESS = "CASE WHEN corruption = 0 THEN NULL WHEN corruption < 4 THEN translate(family, 'AEI', '41') ELSE given1 || family END"
 _DATE_LIST = r"list_sort(list_transform(regexp_extract_all(raw_text, '\b(\d{2}[/.\-]\d{2}[/.\-]\d{4})\b', 1), lambda d, i: {'day': coalesce(try_strptime(regexp_replace(d, '[.\-]', '/', 'g'), '%d/%m/%Y'), TIMESTAMP '2099-01-01'), 'at': i, 'raw': d}))"
 _OTHER = "CASE WHEN corruption < 3 THEN lower(family) WHEN corruption < 5 THEN ' ' ELSE given1 END"

@@ -1,11 +1,18 @@
-"""The screening plan: one lazy chain from text to record, without a shuffle.
+"""The screening plan: one chain from text to record, without a shuffle.
 
 Each type's rows pass only their own extractor (a filter and a projection), and the branches
 are united again, so generated methods stay small and no row is tried by other types' rules.
+The source is read and classified once: classified rows are written to the shared folder by
+processor, and each branch reads its own. A stream is screened without that.
+
+The columns of the branches are built once for each process (``Recipe``): to build them takes
+thousands of calls to the JVM.
 """
 
 from __future__ import annotations
 
+from functools import cache, reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +22,7 @@ from ..functions.text import first_present, full_name, normalize_ocr, once, snip
 from ..operators import extract, score
 from ..operators.classify import classify, route
 from ..operators.reconcile import COMPARED, compare_all
+from ..sources.shared import save, shared_path
 
 IDENTITY = ("full_name", "surname", "given_name", "nationality", "date_of_birth", "gender")
 DOCUMENT = ("document_number", "date_of_issue", "date_of_expiry", "place_of_birth", "place_of_issue", "issuing_authority", "passport_number", "visa_type", "permit_type", "valid_from", "valid_until", "number_of_entries", "duration_of_stay", "authorization_status")
@@ -34,6 +42,33 @@ SECTION = {
 }
 
 
+class Recipe:
+    """Stands in for a DataFrame while steps are recorded, to be taken on any DataFrame later. ``columns`` are those added so far."""
+
+    def __init__(self):
+        self.steps: list[tuple[str, dict[str, Column] | list[Column]]] = []
+        self.columns: list[str] = []
+
+    def withColumns(self, columns: dict[str, Column]) -> Recipe:
+        self.steps.append(("add", columns))
+        self.columns += [c for c in columns if c not in self.columns]
+        return self
+
+    def withColumn(self, name: str, column: Column) -> Recipe:
+        return self.withColumns({name: column})
+
+    def select(self, *columns: Column) -> Recipe:
+        """These columns beside those of the DataFrame itself."""
+        self.steps.append(("select", list(columns)))
+        return self
+
+    def apply(self, docs: DataFrame) -> DataFrame:
+        own = docs.columns
+        for kind, columns in self.steps:
+            docs = docs.withColumns(columns) if kind == "add" else docs.select(*own, *columns)
+        return docs
+
+
 def _section(names: tuple[str, ...], values: dict[str, Column]) -> Column:
     return F.struct(*[F.coalesce(values.get(n, F.lit(None)), F.lit(None)).cast("string").alias(n) for n in names])
 
@@ -60,7 +95,7 @@ def with_type(docs: DataFrame) -> DataFrame:
     return docs.withColumn("detected_type", classify("normalized_text")).withColumn("processor", route(F.col("detected_type")))
 
 
-def _passport(docs: DataFrame) -> DataFrame:
+def _passport(docs: Recipe, with_quality: bool) -> Recipe:
     docs = extract.passport_visual(docs.withColumn("x_zone", best_lines("raw_text")).withColumn("m", once(F.col("x_zone"), lambda z: parse(z))))
     m, has = F.col("m"), F.col("m").isNotNull()
     visual = {k: F.col(f"v_{k}") for k in COMPARED}
@@ -75,7 +110,7 @@ def _passport(docs: DataFrame) -> DataFrame:
     document = {"document_number": r["passport_number"], "date_of_issue": issued, "date_of_expiry": ends, "place_of_birth": F.col("v_place_of_birth"), "place_of_issue": F.col("v_place_of_issue")}
     additional = {"issuing_country": m["issuing_country"], "document_code": F.when(has, m["document_code"]).otherwise("P"), "raw_line1": m["raw_line1"], "raw_line2": m["raw_line2"]}
     verification = _verification(available=has, valid=F.coalesce(m["mrz_valid"], F.lit(False)), mrz_score=F.coalesce(m["mrz_validation_score"], F.lit(0.0)), composite=m["valid_composite_check"], complete=F.col("x_complete"), consistent=F.col("x_consistent"), confidence=F.col("x_confidence"), level=score.level(F.col("x_confidence"), "passport"), comparisons=c)
-    return _record(docs, "passport", "PASSPORT", F.when(m["mrz_valid"], "VERIFIED").otherwise("PROCESSED"), identity, document, additional, verification)
+    return _record(docs, with_quality, "passport", "PASSPORT", F.when(m["mrz_valid"], "VERIFIED").otherwise("PROCESSED"), identity, document, additional, verification)
 
 
 def _compared(m: Column, visual: dict[str, Column], stream: Column) -> Column:
@@ -83,7 +118,7 @@ def _compared(m: Column, visual: dict[str, Column], stream: Column) -> Column:
     return once(both, lambda b: compare_all(b["m"], {k: b["v"][k] for k in COMPARED}, b["s"]))
 
 
-def _plain(docs: DataFrame, kind: str) -> DataFrame:
+def _plain(docs: Recipe, with_quality: bool, kind: str) -> Recipe:
     docs = getattr(extract, kind)(docs)
     names = set(docs.columns)
     get = lambda *keys: {k: F.col(f"f_{k}") for k in keys if f"f_{k}" in names}
@@ -96,18 +131,16 @@ def _plain(docs: DataFrame, kind: str) -> DataFrame:
         document |= {"place_of_issue": F.col("f_issuing_post"), "issuing_authority": F.col("f_issuing_post")}
     additional = get(*ADDITIONAL) | ({"associated_passport": F.col("f_passport_number")} if kind == "travel" else {})
     verification = _verification(complete=F.col("x_complete"), confidence=F.col("x_complete"), level=score.level(F.col("x_complete"), kind))
-    return _record(docs, kind, LABEL[kind], F.lit("PROCESSED"), identity, document, additional, verification)
+    return _record(docs, with_quality, kind, LABEL[kind], F.lit("PROCESSED"), identity, document, additional, verification)
 
 
-def _unknown(docs: DataFrame) -> DataFrame:
+def _unknown(docs: Recipe, with_quality: bool) -> Recipe:
     verification = _verification(complete=F.lit(0.0), confidence=F.lit(20.0), level=F.lit("LOW"))
-    return _record(docs, "unknown", "UNKNOWN", F.lit("UNRECOGNIZED_TYPE"), {}, {}, {"raw_text_snippet": snippet("normalized_text", 300)}, verification)
+    return _record(docs, with_quality, "unknown", "UNKNOWN", F.lit("UNRECOGNIZED_TYPE"), {}, {}, {"raw_text_snippet": snippet("normalized_text", 300)}, verification)
 
 
-def _record(docs: DataFrame, kind: str, label: str, status: Column, identity: dict, document: dict, additional: dict, verification: Column) -> DataFrame:
-    keep = [c for c in docs.columns if not c.startswith(("x_", "y_", "f_", "v_", "r_")) and c not in ("m", "x")]
+def _record(docs: Recipe, with_quality: bool, kind: str, label: str, status: Column, identity: dict, document: dict, additional: dict, verification: Column) -> Recipe:
     docs = docs.select(
-        *keep,
         F.lit(label).alias("document_type"),
         status.alias("status"),
         _section(IDENTITY, identity).alias("identity"),
@@ -116,18 +149,27 @@ def _record(docs: DataFrame, kind: str, label: str, status: Column, identity: di
         verification.alias("verification"),
     )
     i, d, v = F.col("identity"), F.col("document"), F.col("verification")
-    quality = F.col("quality")["quality_score"] if "quality" in keep else None
-    parts = F.struct(i.alias("i"), d.alias("d"), v["field_comparisons"].alias("c"), v["mrz_valid"].alias("ok"), (F.lit(100.0) if quality is None else quality).alias("q"))
+    quality = F.col("quality")["quality_score"] if with_quality else F.lit(100.0)
+    parts = F.struct(i.alias("i"), d.alias("d"), v["field_comparisons"].alias("c"), v["mrz_valid"].alias("ok"), quality.alias("q"))
     scores = once(parts, lambda p: score.field_confidence({k: p["i"][k] for k in IDENTITY}, {k: p["d"][k] for k in SECTION[kind]}, p["c"], p["ok"], p["q"]))
     return docs.withColumn("field_confidence", scores)
 
 
+@cache
+def _branch(processor: str, with_quality: bool) -> Recipe:
+    """What a processor does to its rows."""
+    if processor in NUMBER:
+        return _plain(Recipe(), with_quality, processor)
+    return (_passport if processor == "passport" else _unknown)(Recipe(), with_quality)
+
+
+PROCESSORS = ("passport", "unknown", *NUMBER)
+
+
 def with_record(docs: DataFrame) -> DataFrame:
     """Each row through its type's processor."""
-    out = _passport(docs.where("processor = 'passport'")).unionByName(_unknown(docs.where("processor = 'unknown'")))
-    for kind in NUMBER:
-        out = out.unionByName(_plain(docs.where(F.col("processor") == kind), kind))
-    return out
+    done = [_branch(k, "quality" in docs.columns).apply(docs.where(F.col("processor") == k)) for k in PROCESSORS]
+    return reduce(DataFrame.unionByName, done)
 
 
 def with_review(records: DataFrame) -> DataFrame:
@@ -142,7 +184,10 @@ def with_review(records: DataFrame) -> DataFrame:
 
 def screen(docs: DataFrame) -> DataFrame:
     """docs: any columns with raw_text, and if known a ``quality`` report. Each row with its record, scores and review decision."""
-    return docs.transform(with_text).transform(with_type).transform(with_record).transform(with_review)
+    typed = docs.transform(with_text).transform(with_type)
+    if not docs.isStreaming:
+        typed = save(typed, shared_path(docs.sparkSession, "classified"), ("processor",))
+    return typed.transform(with_record).transform(with_review)
 
 
 #: Fixed values.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,20 +10,22 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.face import CLOSED, LEAST_RUN
 from ..sources.packaging import ship
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_path
 
 FRAME = "session_id long, ts timestamp, ear double, has_face boolean"
 OUTPUT = "session_id long, ts timestamp"
+#: State of a session lives for so long after its last frame was processed.
+IDLE_MS = 3_600_000
 
 
 class Blinks(StatefulProcessor):
-    """The length of the run of closed frames so far is all that is kept for a session."""
+    """The length of the run of closed frames so far is all that is kept for a session, and is forgotten when the session is idle for so long."""
 
-    def __init__(self, closed: float = CLOSED, least: int = LEAST_RUN):
-        self.closed, self.least = closed, least
+    def __init__(self, closed: float = CLOSED, least: int = LEAST_RUN, idle_ms: int | None = None):
+        self.closed, self.least, self.idle_ms = closed, least, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "n int")
+        self.run = handle.getValueState("run", "n int", self.idle_ms) if self.idle_ms else handle.getValueState("run", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Rows of a micro-batch come in any order.
@@ -47,23 +48,25 @@ class Blinks(StatefulProcessor):
         pass
 
 
-def blinks(frames: DataFrame, closed: float = CLOSED, least: int = LEAST_RUN) -> DataFrame:
+def blinks(frames: DataFrame, closed: float = CLOSED, least: int = LEAST_RUN, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """(session_id, ts) of each blink of a stream of frames (session_id, ts, ear, has_face).
 
     Frames must reach a session's state in order of time; one that comes in a later batch
-    than its successors is folded where it comes. Needs the RocksDB state store.
+    than its successors is folded where it comes. A session's state is forgotten ``idle_ms``
+    after its last batch; with None it is kept, as a run to the end of bounded input needs,
+    which would else wait for timers. Needs the RocksDB state store.
     """
     spark = frames.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return frames.groupBy("session_id").transformWithStateInPandas(Blinks(closed, least), OUTPUT, "Append", "None")
+    return frames.groupBy("session_id").transformWithStateInPandas(Blinks(closed, least, idle_ms), OUTPUT, "Append", "ProcessingTime" if idle_ms else "None")
 
 
 def blink_stream(spark: SparkSession, frames: DataFrame, closed: float = CLOSED, least: int = LEAST_RUN) -> DataFrame:
     """Run a table of frames through the stream to its end; the sink's rows."""
-    base = f"{shared_dir(spark)}/blinks-{uuid.uuid4().hex}"
+    base = shared_path(spark, "blinks")
     frames.select("session_id", "ts", "ear", "has_face").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(FRAME).parquet(f"{base}/in")
-    query = blinks(stream, closed, least).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query = blinks(stream, closed, least, None).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(OUTPUT).parquet(f"{base}/out")
