@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.packaging import ship
+from ..sources.shared import save, shared_path
 
 #: Whitespace of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = "\t\n\x0b\x0c\r"
@@ -35,24 +33,9 @@ def lower_ascii(text: str) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="docscreen-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return save(df, shared_path(df.sparkSession, name))
 
 
 def sized(df: DataFrame, tasks: float) -> DataFrame:
@@ -66,13 +49,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
+    """``mapInArrow`` with this package at hand on the executors. Python workers wait for their next task with little memory."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
 
+    def tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Return memory that is free to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
 
-def local_path(uri: str) -> str | None:
-    """The local path of a file: URI, else None."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    return uri if os.path.isabs(uri) else None
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, sized
+from ..sources.shared import remove, save, shared_path
+from .common import map_arrow, sized
 
 #: So many edges at most are joined up in one task; their number is counted first.
 LOCAL = 200_000
@@ -32,13 +33,6 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fewer edges that connect the same nodes: stars around the least node of what a batch connects."""
-    for batch in batches:
-        node, least = forest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(node[node != least]), pa.array(least[node != least])], ["a", "b"])
-
-
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, component) from all edges; there are at most LOCAL."""
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -67,19 +61,20 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 40, local: int = LOCAL, most: float = 0) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): the least node that can be reached. Nodes without an edge are absent.
 
-    Edges are reduced to stars batch by batch before they are dealt out. If ``local`` or fewer
-    are left, one task joins them up. Else the number of rounds grows with the logarithm of
+    If there are ``local`` edges or fewer, one task joins them up. Else the number of rounds grows with the logarithm of
     the longest path; a hub's edges are aggregated before the shuffle, and Spark splits its
     join as skewed. Raises if ``rounds`` don't settle them. most: an estimate of the edges' number.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    edges, before = materialize(sized(map_arrow(edges, _stars, "a long, b long").distinct(), most / TASK_ROWS), "edges"), None
+    spark, before = edges.sparkSession, None
+    edges = save(sized(edges.distinct(), most / TASK_ROWS), path := shared_path(spark, "edges"))
     for _ in range(rounds):
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if state.n <= local:
             return map_arrow(edges.coalesce(1), _finish, "node long, component long")
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        before = state
-        edges = materialize(sized(_small(_large(edges).distinct()).distinct(), state.n / TASK_ROWS), "edges")
+        before, old = state, path
+        edges = save(sized(_small(_large(edges).distinct()).distinct(), state.n / TASK_ROWS), path := shared_path(spark, "edges"))
+        remove(spark, old)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

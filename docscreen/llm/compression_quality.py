@@ -108,7 +108,7 @@ def quality(
         pack = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False).compress
         for b in batches:
             rows = []
-            for text in b.column(1).to_pylist():
+            for text in map(pa.StringScalar.as_py, b.column(1)):
                 n, chars, symbols, dup, repeat = base_counts(text)
                 failed = n < 50 or 100 * repeat > 50 * n
                 ok, ratio, low, high = judge(pack, (text or "").encode(), bands, chunk, chunk_band)

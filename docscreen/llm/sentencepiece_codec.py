@@ -27,7 +27,7 @@ from .common import map_arrow
 
 MARK = "▁"
 LONG = 64
-TABLE_CHARS = 24_000_000
+TABLE_CHARS = 12_000_000
 SCHEMA = "doc_id long, n_tokens long, ids string, decoded string"
 
 _CHUNK = re.compile(" +[^ ]*")

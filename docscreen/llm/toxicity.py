@@ -303,7 +303,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([model.voters.read(t)[1] for t in b.column(at).to_pylist()]).reshape(-1, model.voters.n_features)
+            x = np.array([model.voters.read(t.as_py())[1] for t in b.column(at)]).reshape(-1, model.voters.n_features)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(model.score(x))], schema.names)
 
     return map_arrow(docs, run, schema)
