@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, lookup, mrz, text
 from ..operators import classify, evaluate, extract, face, quality, reconcile, score, validate
 from ..sources.shared import written
-from . import fixtures, oracles, pipeline
+from . import fixtures, oracles, oracles_screening, pipeline
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -387,4 +387,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.ORACLES)
+    return oracles.ORACLES | oracles_screening.SCREENING

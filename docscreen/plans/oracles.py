@@ -18,8 +18,8 @@ EXTRACTED = {
     "visa": ("visa_number", "visa_type", "issuing_post", "passport_number", "surname", "given_name", "full_name", "nationality", "gender", "date_of_birth", "date_of_issue", "date_of_expiry", "number_of_entries", "duration_of_stay", "n_present"),
     "permit": ("permit_number", "permit_type", "full_name", "surname", "given_name", "nationality", "date_of_birth", "date_of_issue", "date_of_expiry", "issuing_authority", "n_present"),
     "travel": ("authorization_number", "authorization_status", "full_name", "surname", "given_name", "passport_number", "nationality", "date_of_birth", "date_of_issue", "date_of_expiry", "issuing_authority", "n_present"),
-    "licence": ("license_number", "full_name", "surname", "given_name", "date_of_birth", "date_of_issue", "date_of_expiry", "blood_group", "guardian_name", "issuing_authority", "gender", "n_present"),
-    "national_id": ("id_number", "full_name", "date_of_birth", "gender", "guardian_name", "address", "vid", "id_type", "n_present"),
+    "licence": ("license_number", "full_name", "surname", "given_name", "date_of_birth", "date_of_issue", "date_of_expiry", "blood_group", "guardian_name", "address", "issuing_authority", "gender", "n_present"),
+    "national_id": ("id_number", "full_name", "surname", "given_name", "nationality", "date_of_birth", "gender", "guardian_name", "address", "vid", "id_type", "issuing_authority", "n_present"),
 }
 
 
@@ -226,7 +226,8 @@ _NID = (
 )
 
 ORACLES: dict[str, str] = {
-    "extract_national_id": f"""{_NID} SELECT doc_id, CASE WHEN length(n) = 12 THEN substr(n, 1, 4) || ' ' || substr(n, 5, 4) || ' ' || substr(n, 9, 4) ELSE x_id_number END AS id_number, full_name, {iso("x_date_of_birth")} AS date_of_birth, gender, x_guardian_name AS guardian_name, address,
+    "extract_national_id": f"""{_NID} SELECT doc_id, CASE WHEN length(n) = 12 THEN substr(n, 1, 4) || ' ' || substr(n, 5, 4) || ' ' || substr(n, 9, 4) ELSE x_id_number END AS id_number, full_name, {_surname("full_name")} AS surname, {_given("full_name")} AS given_name, CASE WHEN contains(upper(t), 'AADHAAR') OR contains(upper(t), 'INDIA') THEN 'INDIAN' END AS nationality,
+        CASE WHEN contains(upper(t), 'AADHAAR') THEN 'Unique Identification Authority of India (UIDAI)' ELSE 'National ID Authority' END AS issuing_authority, {iso("x_date_of_birth")} AS date_of_birth, gender, x_guardian_name AS guardian_name, address,
         CASE WHEN length(v) = 16 THEN substr(v, 1, 4) || ' ' || substr(v, 5, 4) || ' ' || substr(v, 9, 4) || ' ' || substr(v, 13, 4) ELSE v END AS vid, CASE WHEN contains(upper(t), 'AADHAAR') THEN 'Aadhaar Card' ELSE 'National ID' END AS id_type,
         {_count("x_id_number", "full_name", "x_date_of_birth", "gender")} AS n_present FROM named""",
     "line_window_above": f"""{TEXT}, ls AS (SELECT doc_id, list_filter({_TRIMMED.format(t="raw_text")}, lambda s: s <> '') AS ls FROM texts), i AS (SELECT *, list_position(list_transform(ls, lambda s: regexp_matches(s, 'DOB|Date of Birth')), true) AS i FROM ls)
@@ -268,7 +269,7 @@ ORACLES: dict[str, str] = {
     }),
     "extract_licence": _extract("licence", "DRIVING_LICENSE", {
         "license_number": "x_license_number", "full_name": _L_NAME, "surname": _surname(_L_NAME), "given_name": _given(_L_NAME), "date_of_birth": iso("x_date_of_birth"), "date_of_issue": iso(f"({_L_ISSUE})"), "date_of_expiry": iso(f"({_L_EXPIRY})"),
-        "blood_group": "x_blood_group", "guardian_name": _L_GUARD, "issuing_authority": "coalesce(nullif(x_issuing_authority, ''), 'Transport Department / Licensing Authority')", "gender": "upper(x_gender)",
+        "blood_group": "x_blood_group", "guardian_name": _L_GUARD, "address": "x_address", "issuing_authority": "coalesce(nullif(x_issuing_authority, ''), 'Transport Department / Licensing Authority')", "gender": "upper(x_gender)",
         "n_present": _count("x_license_number", _L_NAME, "x_date_of_birth", f"({_L_ISSUE})", f"({_L_EXPIRY})", _L_GUARD),
     }, _L_TEXT),
     "ocr_normalize": f"{TEXT} SELECT doc_id, {normalized()} AS normalized FROM texts",
