@@ -9,7 +9,29 @@ _BASE32 = """list_reduce(list_transform(range(0, 32), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(sha, 1 + 5 * CAST(i // 4 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)),
     lambda a, b: a || b)"""
 
+#: Words of the word rule, as a list.
+_WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLES: dict[str, str] = {
+    "op6_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format(text="text")} AS ws FROM documents),
+             v AS (SELECT doc_id, k, array_to_string(ws[k:k + 49], ' ') AS said FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS k FROM w WHERE len(ws) >= 50)),
+             hit AS (SELECT doc_id, k FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY said) AS least FROM v) WHERE least < doc_id),
+             gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS i FROM hit),
+             word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+             kept AS (SELECT doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE g.i IS NULL) AS text FROM word LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op7_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=f"translate(text, '{_UPPER}', '{_LOWER}')")} AS ws FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+             met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+             link AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+             edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+             reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+             least AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1)
+        SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, coalesce(m, doc_id) >= doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)""",
     "op8_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
              d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS sha FROM p),
