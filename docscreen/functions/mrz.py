@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import mrz_date
+from .dates import century, mrz_date
 from .lookup import gender
-from .text import LINE, clean_mrz_line, col, once, pad_line, sl
+from .text import LINE, clean_mrz_line, col, collapse, once, pad_line, sl
 
 #: Value of a character is its place here; others count 0.
 VALUES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -197,6 +197,34 @@ def _parse(lines: Column, v: Variant, strict_names: bool, icao: bool) -> Column:
     )
 
 
+def reader_record(r: Column) -> Column:
+    """The record of an image reader's result: a struct with type, number, surname, names, nationality, date_of_birth, sex, expiration_date and valid_* (null if it read nothing)."""
+    value = lambda k: F.nullif(collapse(F.regexp_replace(F.trim(r[k].cast("string")), "<+$", "")), F.lit(""))
+    code = value("nationality")
+    day = lambda k: once(F.trim(value(k)), lambda v: F.when(v.rlike("^[0-9]{6}$"), F.concat_ws("/", sl(v, 4, 6), sl(v, 2, 4), century(sl(v, 0, 2), 50))))
+    return F.when(
+        r.isNotNull(),
+        F.struct(
+            F.lit("Passport").alias("document_type"),
+            F.when(r["type"].isin("P", "P<", "TD3"), "TD3").otherwise(r["type"]).alias("mrz_type"),
+            value("number").alias("passport_number"),
+            value("surname").alias("surname"),
+            value("names").alias("given_name"),
+            F.when(code == "IND", "INDIAN").otherwise(code).alias("nationality"),
+            code.alias("nationality_code"),
+            value("date_of_birth").alias("date_of_birth"),
+            day("date_of_birth").alias("date_of_birth_formatted"),
+            value("sex").alias("gender"),
+            value("expiration_date").alias("date_of_expiry"),
+            day("expiration_date").alias("date_of_expiry_formatted"),
+            r["valid_score"].alias("mrz_valid_score"),
+            r["valid_number"].alias("valid_passport_number"),
+            r["valid_date_of_birth"].alias("valid_date_of_birth"),
+            r["valid_expiration_date"].alias("valid_date_of_expiry"),
+        ),
+    )
+
+
 #: Format predicates of the second line's fields.
 FORMATS = {
     "document_code": "^P<$",

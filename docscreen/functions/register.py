@@ -33,6 +33,19 @@ SQL_FUNCTIONS = (
 )
 
 
+def points(line: str) -> int:
+    """The score of a repaired second line, by the rules of ``mrz.score_line2``."""
+    import re
+
+    def checked(a: int, b: int) -> bool:
+        total = sum((7, 3, 1)[i % 3] * max(0, VALUES.find(c)) for i, c in enumerate(line[a:b]))
+        return line[b].isdigit() and total % 10 == int(line[b])
+
+    formats = ((10, "[A-Z0-9<]{9}", 0), (10, "[0-9]", 9), (15, "[A-Z]{3}", 10), (15, "[0-9]{6}", 13), (10, "[MFX<]", 20), (15, "[0-9]{6}", 21))
+    score = 10 + sum(n for n, pattern, at in formats if re.match(pattern, line[at:]))
+    return score + 30 * sum(checked(a, b) for a, b in ((0, 9), (13, 19), (21, 27)))
+
+
 @udtf(returnType="pos int, kind string, line string")
 class MrzCandidates:
     """Rows of a text's possible machine-readable lines, for ``SELECT * FROM mrz_candidates(text)``."""
@@ -43,8 +56,16 @@ class MrzCandidates:
         if text:
             for i, raw in enumerate(text.splitlines()):
                 line = re.sub("[^A-Z0-9<]", "", raw.upper().translate(str.maketrans("«‹›|", "<<<<")))
-                if len(line) >= 20:
-                    yield i, "first" if line.startswith("P<") else "second", line.ljust(44, "<")[:44]
+                if len(line) < 20:
+                    continue
+                if line.startswith("P<"):
+                    yield i, "first", line.ljust(44, "<")[:44]
+                    continue
+                if re.match("[A-Z0-9<]{9}[0-9][1I][A-Z]{3}", line):
+                    line = line[:10] + line[11:]
+                line = (line[:10] + line[10:13].replace("1", "I") + line[13:]).ljust(44, "<")[:44]
+                if points(line) > 20:
+                    yield i, "second", line
 
 
 def register_functions(spark: SparkSession) -> None:

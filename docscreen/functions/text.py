@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LINE = r"\r\n|[\n\r\x0b\x0c]"
+#: Where a text breaks into lines.
+LINE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def col(c: Column | str) -> Column:

@@ -39,6 +39,11 @@ def first_backend(boxes: list[tuple[str, Column]], img_w: Column, img_h: Column)
     return out.otherwise(whole("fallback_full_image"))
 
 
+def large_enough(w: Column, h: Column, least: int = 60) -> Column:
+    """Whether a cascade detector's box is of its least size."""
+    return (w >= least) & (h >= least)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import any_of, base_name, col, mask_id
 
@@ -74,9 +75,9 @@ def error_message(error: Column, path: Column | str, length: Column | str) -> Co
     )
 
 
-def validate_files(files: DataFrame, strict: bool = False) -> DataFrame:
+def validate_files(files: DataFrame, strict: bool = False, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """(path, length, content) with is_valid, error, message, error_code and, for valid files, the SHA-256 digest."""
-    error = file_error("path", "length", "content", strict)
+    error = file_error("path", "length", "content", strict, extensions)
     out = files.withColumn("error", error).withColumn("is_valid", F.col("error").isNull()).withColumn("message", error_message(F.col("error"), "path", "length"))
     return out.withColumn("file_hash", F.when(F.col("is_valid"), F.sha2("content", 256))).withColumn("error_code", error_code(F.col("error")))
 
@@ -97,20 +98,22 @@ MASKED = ("id_number", "aadhaar_number", "vid")
 
 
 def mask_columns(df: DataFrame, names: tuple[str, ...] = MASKED) -> DataFrame:
-    """The identity numbers of a table masked, at the top level and within structs."""
-
-    def masked(c: Column, kind) -> Column:
-        fields = []
-        for f in kind.fields:
-            inner = c[f.name]
-            fields.append((mask_id(inner) if f.name in names and f.dataType.typeName() == "string" else masked(inner, f.dataType) if f.dataType.typeName() == "struct" else inner).alias(f.name))
-        return F.when(c.isNotNull(), F.struct(*fields))
-
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        out.append((mask_id(c) if f.name in names and f.dataType.typeName() == "string" else masked(c, f.dataType) if f.dataType.typeName() == "struct" else c).alias(f.name))
-    return df.select(*out)
+    """The identity numbers of a table masked: fields of these names at the top level and within structs, arrays and maps."""
+
+    def masked(c: Column, kind: T.DataType, name: str = "") -> Column:
+        if name in names and isinstance(kind, T.StringType):
+            return mask_id(c)
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[masked(c[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields]))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: masked(x, kind.elementType, name))
+        if isinstance(kind, T.MapType):
+            if isinstance(kind.keyType, T.StringType) and isinstance(kind.valueType, T.StringType):
+                return F.transform_values(c, lambda k, v: F.when(k.isin(*names), mask_id(v)).otherwise(v))
+            return F.transform_values(c, lambda k, v: masked(v, kind.valueType))
+        return c
+
+    return df.select(*[masked(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
 
 
 def audit_events(records: DataFrame, operator_id: str = "OPERATOR_SYSTEM") -> DataFrame:

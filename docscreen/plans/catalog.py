@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, lookup, mrz, text
-from ..operators import classify, evaluate, extract, face, quality, reconcile, score, validate
+from ..operators import classify, evaluate, extract, face, legacy, quality, reconcile, score, validate
+from ..sources import sinks
 from ..sources.shared import written
-from . import fixtures, oracles, oracles_screening, pipeline
+from . import fixtures, oracles, oracles_legacy, oracles_screening, pipeline
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -293,6 +294,82 @@ def eval_corpus(spark, d):
     return evaluate.corpus(evaluate.per_document(evaluate.compare(_truth(spark, d), _predicted(spark, d)), _documents(spark, d)))
 
 
+# --- older extractors, records, readers -----------------------------------
+
+
+def legacy_engine_fields(spark, d):
+    return legacy.extract_engine(_texts(spark, d)).select("doc_id", "engine_type", F.explode("extracted").alias("field", "value"))
+
+
+def legacy_engine_scores(spark, d):
+    e = legacy.extract_engine(_texts(spark, d))
+    return e.select("doc_id", legacy.engine_confidence("extracted").alias("confidence"), legacy.engine_completeness("extracted", "engine_type").alias("completeness"))
+
+
+def legacy_passport_line(spark, d):
+    return _texts(spark, d).select("doc_id", legacy.passport_line("raw_text").alias("p")).select("doc_id", "p.*")
+
+
+def legacy_text(spark, d):
+    middle = F.when(F.col("corruption") % 2 == 0, F.lit("  ")).otherwise(F.col("given2"))
+    crlf = F.replace("raw_text", F.lit("\n"), F.lit(" \r\n\t"))
+    return _texts(spark, d).select("doc_id", text.full_name_skipping("given1", middle, "family").alias("name"), text.blank_to_null(middle).alias("safe"), F.md5(text.clean_engine_text(crlf)).alias("cleaned"), text.snippet("raw_text", 30).alias("snippet"))
+
+
+def consistency_checks(spark, d):
+    c = F.col("corruption")
+    ocr = {"passport_number": F.when(c < 6, F.lower(F.replace("number", F.lit("<"), F.lit("")))), "nationality": F.col("nation"), "gender": F.when(F.col("sex") != "<", F.lower("sex"))}
+    zone = {"passport_number": F.replace("number", F.lit("<"), F.lit("")), "nationality": F.col("code"), "gender": F.col("sex")}
+    other = F.when(c < 3, F.lower("family")).when(c < 5, F.lit(" ")).otherwise("given1")
+    compared = F.create_map(F.lit("surname"), reconcile.compare_legacy(other, F.col("family")), F.lit("date_of_birth"), reconcile.compare_legacy(F.when(c < 4, F.col("birth_iso")).otherwise(F.col("issue_iso")), F.col("birth_iso"), True))
+    kind = F.when(c % 4 == 0, "P").when(c % 4 == 1, "P<").when(c % 4 == 2, "TD2").otherwise("V")
+    return _texts(spark, d).select("doc_id", reconcile.consistency(ocr, zone).alias("x"), score.consistency_legacy(compared).alias("consistency"), lookup.mrz_type(kind).alias("mrz_type")).select("doc_id", "x.*", "consistency", "mrz_type")
+
+
+def json_access(spark, d):
+    inner = F.concat(F.lit('{"surname": "'), "family", F.lit('"'))
+    c = F.col("corruption")
+    j = F.when(c < 3, F.concat(F.lit('{"extracted_data": '), inner, F.lit('}, "surname": "other"}'))).when(c < 5, F.concat(inner, F.lit("}"))).when(c == 5, F.concat(inner, F.lit(', "extracted_data": "none"}'))).when(c == 6, F.lit(""))
+    flat = legacy.flatten(F.struct(F.col("family").alias("surname"), F.lit("").alias("gender"), F.lit("1").alias("n")), F.struct(F.when(c % 2 == 0, F.col("city")).alias("place"), F.lit("2").alias("n")))
+    rows = _texts(spark, d).select("doc_id", legacy.nested_or_flat(j).alias("m"), flat.alias("f"))
+    return rows.select("doc_id", F.try_element_at("m", F.lit("surname")).alias("surname"), F.size("m").alias("n_fields"), F.array_join(F.array_sort(F.transform(F.map_entries("f"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",").alias("flat"))
+
+
+def final_records(spark, d):
+    f = pipeline.final_record(_screened(spark, d), F.col("doc_id").cast("string"), F.lit("2024-01-02 03:04:05").cast("timestamp"), F.concat(F.lit("/in/"), "truth_type"), F.sha2("raw_text", 256))
+    return f.select("module", "module_version", "schema_version", "request_id", "input_file", "file_hash_sha256", "document_type", "status", "manual_review_required", F.col("identity.full_name").alias("full_name"), F.col("document.document_number").alias("document_number"), F.md5("raw_ocr_text").alias("snippet"), F.array_join("error_codes", ",").alias("codes"))
+
+
+def error_records(spark, d):
+    f = fixtures.frame(spark, d, fixtures.FILES, "files").withColumn("content", F.when(F.col("length") > 0, F.unhex("header")))
+    e = pipeline.error_record(validate.validate_files(f), F.col("id").cast("string"), F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    return e.select("request_id", "input_file", "document_type", "status", "manual_review_required", F.array_join("manual_review_reasons", ";").alias("reasons"), F.array_join("error_codes", ";").alias("codes"))
+
+
+def summary_view(spark, d):
+    return sinks.summary(_screened(spark, d)).groupBy("document_type", "status", "bar", "decision").agg(F.count("*").alias("n"), F.max("document_number").alias("last_number"))
+
+
+def mask_nested(spark, d):
+    n = F.lpad(F.col("doc_id").cast("string"), 12, "7")
+    rows = _texts(spark, d).select("doc_id", F.array(F.struct(n.alias("id_number"), F.col("family").alias("name")), F.struct(F.concat(n, F.lit("1234")).alias("id_number"), F.lit("x").alias("name"))).alias("holders"), F.create_map(F.lit("vid"), F.concat(n, F.lit("1234")), F.lit("city"), F.col("city")).alias("more"))
+    m = validate.mask_columns(rows)
+    return m.select("doc_id", F.array_join(F.transform("holders", lambda h: F.concat_ws(":", h["id_number"], h["name"])), ",").alias("holders"), F.element_at("more", "vid").alias("vid"), F.element_at("more", "city").alias("city"))
+
+
+def mrz_reader_records(spark, d):
+    names = {"type": F.when(F.col("corruption") < 4, "P<").otherwise("TD2"), "number": F.concat(F.lit(" "), "number"), "surname": F.col("family"), "names": F.concat("given1", F.lit("  "), "given2", F.lit("<<")), "nationality": F.col("code"), "date_of_birth": F.when(F.col("corruption") != 2, F.col("birth")).otherwise("x"), "sex": F.col("sex"), "expiration_date": F.col("expiry"), "valid_score": F.lit(90.0), "valid_number": F.col("corruption") != 3, "valid_date_of_birth": F.lit(True), "valid_expiration_date": F.lit(True)}
+    r = F.when(F.col("corruption") != 7, F.struct(*[v.alias(k) for k, v in names.items()]))
+    return _zones(spark, d).select("doc_id", mrz.reader_record(r).alias("r")).select("doc_id", "r.*")
+
+
+def national_id_fallbacks(spark, d):
+    """Names where no relation line, and where no birth line is left to find them by."""
+    t = _texts(spark, d).where("truth_type = 'NATIONAL_ID' and corruption < 4").withColumn("raw_text", F.regexp_replace("raw_text", "S/O [^\n]*\n", ""))
+    t = t.withColumn("raw_text", F.when(F.col("corruption") % 2 == 0, F.replace("raw_text", F.lit("DOB"), F.lit("Born"))).otherwise(F.col("raw_text")))
+    return extract.national_id(pipeline.with_text(t)).select("doc_id", F.col("f_full_name").alias("full_name"), F.col("f_date_of_birth").alias("date_of_birth"))
+
+
 # --- files and audit -------------------------------------------------------
 
 
@@ -329,6 +406,13 @@ def face_box_pad(spark, d):
     return b.select("image_id", "pos", pads[0].alias("a"), pads[1].alias("b")).select("image_id", "pos", "a.x1", "a.y1", "a.x2", "a.y2", F.col("b.x1").alias("lx1"), F.col("b.y2").alias("ly2"), face.has_area(F.col("a")).alias("has_area"))
 
 
+def face_backends(spark, d):
+    b = fixtures.frame(spark, d, fixtures.BOXES, "boxes")
+    box = F.struct("x", "y", "w", "h")
+    first = face.first_backend([("mtcnn", F.when(F.col("pos") % 3 == 0, box)), ("retinaface", F.when(F.col("pos") % 2 == 0, box))], F.col("img_w"), F.col("img_h"))
+    return b.select("image_id", "pos", first.alias("b"), face.large_enough(F.col("w"), F.col("h")).alias("large")).select("image_id", "pos", "b.*", "large")
+
+
 def _pairs(spark, d):
     e = _table(spark, d, "embeddings").select("vec_id", "embedding", "label")
     n = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("live"), F.col("label").alias("live_label"))
@@ -372,6 +456,11 @@ def quality_rules(spark, d):
     return q.select("id", r.alias("r")).select("id", "r.quality_score", "r.blur_status", "r.glare_percentage", "r.resolution", "r.is_acceptable", F.array_join("r.warnings", "; ").alias("warnings"))
 
 
+def skew_rules(spark, d):
+    q = fixtures.frame(spark, d, fixtures.STATS, "stats")
+    return q.select("id", quality.skew_angle(F.col("brightness") * 0.7 - 90.0, F.col("laplacian")).alias("angle"))
+
+
 def blink_stream(spark, d):
     """The streaming twin of blink_runs, over the same frames as a file stream."""
     from ..streaming.blink import blink_stream as stream
@@ -387,4 +476,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.ORACLES | oracles_screening.SCREENING
+    return oracles.ORACLES | oracles_screening.SCREENING | oracles_legacy.LEGACY

@@ -208,3 +208,27 @@ def final_record(screened: DataFrame, request_id: Column, at: Column, input_file
         snippet("normalized_text", 1000).alias("raw_ocr_text"),
         "error_codes",
     )
+
+
+def error_record(files: DataFrame, request_id: Column, at: Column) -> DataFrame:
+    """The output record of each file that failed its check (``validate_files``): status ERROR, its reason and code; sections are absent."""
+    return files.where(F.col("error").isNotNull()).select(
+        F.lit(MODULE).alias("module"),
+        F.lit(MODULE_VERSION).alias("module_version"),
+        F.lit(SCHEMA_VERSION).alias("schema_version"),
+        request_id.alias("request_id"),
+        at.alias("timestamp"),
+        F.col("path").alias("input_file"),
+        F.col("file_hash").alias("file_hash_sha256"),
+        F.lit("UNKNOWN").alias("document_type"),
+        F.lit("ERROR").alias("status"),
+        F.lit(True).alias("manual_review_required"),
+        F.array("message").alias("manual_review_reasons"),
+        F.array("error").alias("error_codes"),
+    )
+
+
+def with_zone_text(docs: DataFrame, zone: Column | str = "zone_text", raw: str = "raw_text") -> DataFrame:
+    """What an image reader read of the zone, appended to the raw text alone; null adds nothing."""
+    zone = F.col(zone) if isinstance(zone, str) else zone
+    return docs.withColumn(raw, F.when(zone.isNotNull() & (zone != ""), F.concat_ws("\n", raw, zone)).otherwise(F.col(raw)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.validate import BATCH_EXTENSIONS, MAX_BYTES
+from ..operators.validate import BATCH_EXTENSIONS, MAX_BYTES, UPLOAD_EXTENSIONS, validate_files
 
 
 def read_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = BATCH_EXTENSIONS, largest: int | None = None) -> DataFrame:
@@ -33,7 +33,37 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return files.select("filename", F.explode("fields").alias("field", "value"))
 
 
+def _bounded(read, largest: int = MAX_BYTES) -> DataFrame:
+    """Files of any length; the content of those that are too large isn't read and null."""
+    small, large = read().where(F.col("length") <= largest), read().where(F.col("length") > largest)
+    return small.unionByName(large.select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content")))
+
+
+def scan(spark: SparkSession, path: str, extensions: tuple[str, ...] = BATCH_EXTENSIONS, strict: bool = False) -> DataFrame:
+    """A directory's files, each with its own error, message and code (null if it is good): one bad file doesn't stop the others."""
+    found = _bounded(lambda: read_files(spark, path, extensions))
+    return validate_files(found.unionByName(_empty_files(spark, path, extensions)), strict)
+
+
+def _empty_files(spark: SparkSession, path: str, extensions: tuple[str, ...]) -> DataFrame:
+    """The empty files of a directory, which Spark's file sources leave out; listed by the driver, like all files of a source."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    each, rows = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while each.hasNext():
+        f = each.next()
+        if f.getLen() == 0 and f.getPath().getName().lower().endswith(extensions):
+            rows.append((f.getPath().toString(), f.getModificationTime() / 1000, 0, None))
+    listed = spark.createDataFrame(rows, "path string, at double, length long, content binary")
+    return listed.select("path", F.timestamp_seconds("at").alias("modificationTime"), "length", "content")
+
+
 def landing_stream(spark: SparkSession, path: str, per_batch: int = 100) -> DataFrame:
-    """New files of a directory as a stream of (path, modificationTime, length, content)."""
+    """New files of a directory as a stream of (path, modificationTime, length, content), to be validated; those that are too large have no content."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", per_batch).load(path).where(F.col("length") <= MAX_BYTES)
+    return _bounded(lambda: spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", per_batch).load(path))
+
+
+def uploads(files: DataFrame, strict: bool = False) -> DataFrame:
+    """Files of an upload service, which takes fewer formats than a scan."""
+    return validate_files(files, strict, UPLOAD_EXTENSIONS)
