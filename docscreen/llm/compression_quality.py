@@ -6,6 +6,13 @@ so each length class has limits of its own. Chunks of a fixed size find a repeti
 incompressible stretch inside a document whose whole ratio looks usual; they start at each
 multiple of the size, and one more ends where the text ends.
 
+The limits leave room on both sides of what the ratios of ordinary text are. In the test tables
+(sf0.1, documents that pass the base rule, level 3) from the least to the greatest: 0.46-0.74
+from 256 bytes on, 0.38-0.59 from 1024, 0.36-0.48 from 4096, 0.34-0.43 from 16384; chunks
+0.38-0.49. Repeated phrases fall below a tenth, base64 lies at three quarters and more. Texts
+under 256 bytes have ratios from 0.25 to 1.14 (zstandard's own header counts there) and nearly
+all have too few words for the base rule, so they have no band.
+
 Defined results: a null or empty text has no words, ratio null and fails the base rule;
 a text below the least measured length has no band and passes it; repeated rows are
 judged each on its own; other columns of the input are ignored.
