@@ -1,4 +1,13 @@
-"""Corpus preparation as a chain of stages, each written as Parquet and read again by the next."""
+"""Corpus preparation as a chain of stages, each written as Parquet and read again by the next.
+
+Defined results, for every stage: an empty table gives an empty one; rows that are repeated
+are each judged, and kept or dropped, alike; other columns of documents than COLUMNS are left
+out. A null or empty text has the score of a text without votes, is nobody's near duplicate,
+holds no benchmark item and no personal data (null stays null), and has no ids. A row with a
+null doc_id goes through all stages but is never a near duplicate. Without labels the
+toxicity stage uses the voters' priors; an empty benchmark drops nothing. Of near duplicates
+the least doc_id stays.
+"""
 
 from __future__ import annotations
 
