@@ -94,12 +94,12 @@ def score_line2(line: Column | str, v: Variant = LIVE) -> Column:
         (15, birth.rlike("^[0-9]{6}$")),
         (10, sl(line, 20, 21).isin("M", "F", "X", "<")),
         (15, expiry.rlike("^[0-9]{6}$")),
-        (30, check_valid(number, sl(line, 9, 10))),
-        (30, check_valid(birth, sl(line, 19, 20))),
-        (30, check_valid(expiry, sl(line, 27, 28))),
+        (30, check_valid(number, sl(line, 9, 10), 9)),
+        (30, check_valid(birth, sl(line, 19, 20), 6)),
+        (30, check_valid(expiry, sl(line, 27, 28), 6)),
     ]
     if v.composite_points:
-        pairs.append((v.composite_points, check_valid(composite_data(line), sl(line, 43, 44))))
+        pairs.append((v.composite_points, check_valid(composite_data(line), sl(line, 43, 44), 39)))
     return _points(*pairs)
 
 

@@ -94,6 +94,36 @@ def extract_engine(docs: DataFrame, raw: str = "raw_text") -> DataFrame:
     return docs.withColumn("extracted", out.otherwise(engine_fields(F.col("engine_text"), "Unknown"))).drop("engine_text")
 
 
+#: Fixed values of the engine's record.
+ENGINE, ENGINE_STATUS, ENGINE_PASSES = "Tesseract", "OCR_COMPLETED", 4
+PREPROCESSING = ("Grayscale", "2x Resize", "Gaussian Blur", "Otsu Threshold", "Adaptive Threshold", "Morphological Processing")
+
+
+def engine_record(docs: DataFrame, at: Column, raw: str = "raw_text") -> DataFrame:
+    """docs with record: what the engine writes of a document. input_file, image_width and image_height are taken from docs if they are there."""
+    docs = extract_engine(docs, raw)
+    own = lambda name, kind: (F.col(name) if name in docs.columns else F.lit(None)).cast(kind).alias(name)
+    metadata = F.struct(
+        at.alias("processed_at"),
+        own("input_file", "string"),
+        own("image_width", "int"),
+        own("image_height", "int"),
+        F.lit(ENGINE).alias("ocr_engine"),
+        F.array(*map(F.lit, PREPROCESSING)).alias("preprocessing"),
+        F.lit(ENGINE_PASSES).alias("ocr_passes"),
+        engine_confidence("extracted").alias("confidence"),
+    )
+    record = F.struct(
+        F.col("engine_type").alias("document_type"),
+        F.lit(ENGINE_STATUS).alias("status"),
+        metadata.alias("metadata"),
+        F.col(raw).alias("raw_text"),
+        clean_engine_text(raw).alias("normalized_text"),
+        F.col("extracted").alias("extracted_data"),
+    )
+    return docs.withColumn("record", record)
+
+
 def engine_confidence(extracted: Column | str) -> Column:
     """Percentage of fields with a value; 0 without any field. The message of an unknown type and its text count as fields."""
     values = F.map_values(col(extracted))

@@ -51,7 +51,7 @@ def mrz_line2_repair(spark, d):
 
 def _parsed(spark, d, variant=mrz.LIVE):
     lines = mrz.best_lines(F.concat_ws("\n", F.lit("noise"), "line1", "line2", F.lit("P<XXX")), variant)
-    return _zones(spark, d).select("doc_id", "code", lines.alias("lines")).select("doc_id", "code", "lines", text.once(F.col("lines"), lambda z: mrz.parse(z, variant)).alias("m"))
+    return _zones(spark, d).select("doc_id", "code", lines.alias("lines")).select("doc_id", "code", "lines", mrz.parse(F.col("lines"), variant).alias("m"))
 
 
 def mrz_validity_by_nation(spark, d):
@@ -306,6 +306,12 @@ def legacy_engine_scores(spark, d):
     return e.select("doc_id", legacy.engine_confidence("extracted").alias("confidence"), legacy.engine_completeness("extracted", "engine_type").alias("completeness"))
 
 
+def legacy_engine_records(spark, d):
+    r = legacy.engine_record(_texts(spark, d).withColumn("input_file", F.concat(F.lit("/in/"), "truth_type")), F.lit("2024-01-02T03:04:05"))
+    j = r.select("doc_id", sinks.record_json(F.col("record")).alias("j"))
+    return j.select("doc_id", *[F.get_json_object("j", f"$.{p}").alias(n) for p, n in (("document_type", "document_type"), ("status", "status"), ("metadata.input_file", "input_file"), ("metadata.image_width", "image_width"), ("metadata.ocr_engine", "ocr_engine"), ("metadata.preprocessing[5]", "last_step"), ("metadata.ocr_passes", "passes"))], F.md5(F.get_json_object("j", "$.normalized_text")).alias("text"))
+
+
 def legacy_passport_line(spark, d):
     return _texts(spark, d).select("doc_id", legacy.passport_line("raw_text").alias("p")).select("doc_id", "p.*")
 
@@ -340,6 +346,12 @@ def final_records(spark, d):
     return f.select("module", "module_version", "schema_version", "request_id", "input_file", "file_hash_sha256", "document_type", "status", "manual_review_required", F.col("identity.full_name").alias("full_name"), F.col("document.document_number").alias("document_number"), F.md5("raw_ocr_text").alias("snippet"), F.array_join("error_codes", ",").alias("codes"))
 
 
+def record_template(spark, d):
+    """The empty record beside each type that is routed."""
+    t = _typed(spark, d).select("detected_type").distinct().select("detected_type", pipeline.template(F.col("detected_type")).alias("t"))
+    return t.select("detected_type", "t.document_type", "t.status", "t.manual_review_required", F.size("t.manual_review_reasons").alias("n_reasons"), "t.identity.full_name", "t.document.document_number", "t.face_extraction.face_detected", "t.image_quality.quality_score", "t.image_quality.blur_status", "t.image_quality.resolution", "t.verification.confidence_level", F.size("t.verification.field_comparisons").alias("n_comparisons"), F.size("t.field_confidence").alias("n_fields"))
+
+
 def error_records(spark, d):
     f = fixtures.frame(spark, d, fixtures.FILES, "files").withColumn("content", F.when(F.col("length") > 0, F.unhex("header")))
     e = pipeline.error_record(validate.validate_files(f), F.col("id").cast("string"), F.lit("2024-01-02 03:04:05").cast("timestamp"))

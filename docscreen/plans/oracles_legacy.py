@@ -42,6 +42,8 @@ _NUMBER = "lpad(doc_id::VARCHAR, 12, '7')"
 LEGACY: dict[str, str] = {
     "legacy_engine_fields": f"{_EXTRACTED}, long AS (SELECT doc_id, engine_type, unnest(x) AS f FROM found) SELECT doc_id, engine_type, f.field AS field, f.value AS value FROM long",
     "legacy_engine_scores": f"{_EXTRACTED} SELECT doc_id, round(len(list_filter(x, lambda f: coalesce(f.value, '') <> '')) / len(x) * 100.0, 2) AS confidence, CASE upper(engine_type) {_SHARES} ELSE 0.0 END::DOUBLE AS completeness FROM found",
+    "legacy_engine_records": f"{_ENGINE} SELECT doc_id, engine_type AS document_type, 'OCR_COMPLETED' AS status, '/in/' || truth_type AS input_file, CAST(NULL AS VARCHAR) AS image_width, 'Tesseract' AS ocr_engine, 'Morphological Processing' AS last_step, '4' AS passes, md5(t) AS text FROM engine JOIN texts USING (doc_id)",
+    "record_template": f"{_TYPED} SELECT DISTINCT detected AS detected_type, detected AS document_type, 'PROCESSED' AS status, false AS manual_review_required, 0 AS n_reasons, CAST(NULL AS VARCHAR) AS full_name, CAST(NULL AS VARCHAR) AS document_number, false AS face_detected, 100.0::DOUBLE AS quality_score, 'SHARP' AS blur_status, '0x0' AS resolution, 'LOW' AS confidence_level, 0 AS n_comparisons, 0 AS n_fields FROM kinds",
     "legacy_passport_line": f"""{_LINE} SELECT doc_id, upper({first("t", legacy.LINE_NUMBER)}) AS passport_number, upper({first("t", legacy.LINE_SURNAME)}) AS surname, upper({first("t", legacy.LINE_GIVEN)}) AS given_name, CASE {_NATION} END AS nationality,
         CASE WHEN {first("t", legacy.LINE_BIRTH)} IS NOT NULL THEN {_month("(" + first("t", legacy.LINE_BIRTH) + ")")} ELSE nullif(regexp_extract(t, '\\b(\\d{{2}}/\\d{{2}}/\\d{{4}})\\b', 1), '') END AS date_of_birth, upper({first("t", legacy.LINE_SEX)}) AS gender,
         upper({first("t", legacy.LINE_BIRTHPLACE)}) AS place_of_birth, CASE WHEN regexp_matches(t, '(?i){legacy.LINE_CITY}') THEN {q(legacy.LINE_CITY)} END AS place_of_issue, CAST(NULL AS VARCHAR) AS date_of_issue, {_month("(" + first("t", legacy.LINE_EXPIRY) + ")")} AS date_of_expiry FROM line""",

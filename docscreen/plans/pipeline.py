@@ -210,6 +210,38 @@ def final_record(screened: DataFrame, request_id: Column, at: Column, input_file
     )
 
 
+def template(document_type: Column | str = "UNKNOWN", request_id: Column | None = None) -> Column:
+    """Struct of the empty record: every section with its default values."""
+    kind = F.lit(document_type) if isinstance(document_type, str) else document_type
+    nothing, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+    empty = lambda *names: F.struct(*[nothing.alias(n) for n in names])
+    no_map = lambda of: F.from_json(F.lit("{}"), f"map<string,{of}>")
+    face = F.struct(F.lit(False).alias("face_detected"), nothing.alias("face_image_path"), F.lit(0.0).alias("confidence"), F.lit(None).cast("struct<x:int,y:int,w:int,h:int>").alias("bounding_box"))
+    quality = F.struct(F.lit(100.0).alias("quality_score"), F.lit("SHARP").alias("blur_status"), F.lit(0.0).alias("laplacian_variance"), F.lit(0.0).alias("glare_percentage"), F.lit("0x0").alias("resolution"), F.lit(0.0).alias("deskew_angle_corrected"), none.alias("warnings"))
+    verification = _verification(complete=F.lit(0.0), consistent=F.lit(0.0), confidence=F.lit(0.0), level=F.lit("LOW"), comparisons=no_map("string"))
+    return F.struct(
+        F.lit(MODULE).alias("module"),
+        F.lit(MODULE_VERSION).alias("module_version"),
+        F.lit(SCHEMA_VERSION).alias("schema_version"),
+        (nothing if request_id is None else request_id).alias("request_id"),
+        F.lit(None).cast("timestamp").alias("timestamp"),
+        nothing.alias("input_file"),
+        nothing.alias("file_hash_sha256"),
+        kind.alias("document_type"),
+        F.lit("PROCESSED").alias("status"),
+        F.lit(False).alias("manual_review_required"),
+        none.alias("manual_review_reasons"),
+        empty(*IDENTITY).alias("identity"),
+        empty("document_number", "date_of_issue", "date_of_expiry", "place_of_birth", "place_of_issue", "issuing_authority").alias("document"),
+        no_map("string").alias("additional_information"),
+        face.alias("face_extraction"),
+        quality.alias("image_quality"),
+        verification.alias("verification"),
+        no_map("double").alias("field_confidence"),
+        none.alias("error_codes"),
+    )
+
+
 def error_record(files: DataFrame, request_id: Column, at: Column) -> DataFrame:
     """The output record of each file that failed its check (``validate_files``): status ERROR, its reason and code; sections are absent."""
     return files.where(F.col("error").isNotNull()).select(
