@@ -14,6 +14,16 @@ _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {
+    # Bytes as hexadecimal digits, two each.
+    "op1_suffix_dedup": """
+        WITH b AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             w AS (SELECT r, k, md5(substr(h, 2 * k + 1, 400)) AS m FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS k FROM b WHERE length(h) >= 400)),
+             hit AS (SELECT r, k, lag(k) OVER (PARTITION BY r ORDER BY k) AS last FROM (SELECT r, k, count(*) OVER (PARTITION BY m) AS n FROM w) WHERE n > 1),
+             run AS (SELECT r, k, sum(CASE WHEN last IS NULL OR k > last + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY k) AS g FROM hit),
+             span AS (SELECT r, min(k) AS s, max(k) + 200 AS e FROM run GROUP BY r, g),
+             gap AS (SELECT r, s, e, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY s) AS a FROM span),
+             cut AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (s - a)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept, sum(e - s) AS n_removed, count(*) AS n_spans FROM gap JOIN b USING (r) GROUP BY r)
+        SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN cut USING (r)""",
     "op6_substring_dedup": f"""
         WITH w AS (SELECT doc_id, {_WORDS.format(text="text")} AS ws FROM documents),
              v AS (SELECT doc_id, k, array_to_string(ws[k:k + 49], ' ') AS said FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS k FROM w WHERE len(ws) >= 50)),
