@@ -14,6 +14,7 @@ from ..functions.dates import month_date, slashes
 from ..functions.text import blank_to_null, clean_engine_text, col, find_first, once, present, snippet
 from .classify import classify
 
+#: Parts of the patterns below.
 _NAME = r"Name\s*[:\-]?\s*([A-Z][A-Z ]+)"
 _SURNAME = r"Surname\s*[:\-]?\s*([A-Z][A-Z ]+)"
 _GIVEN = r"Given\s*Name[s]?\s*[:\-]?\s*([A-Z][A-Z ]+)"

@@ -98,6 +98,20 @@ def test_sinks(spark, tmp_path):
     assert "verification" in sinks.schema_json(screened) and screened.select(sinks.record_json(F.struct("status", "identity")).alias("j")).first().j.startswith('{"status":')
 
 
+def test_a_stream_is_screened_like_a_table(spark, tmp_path):
+    rows = [(1, "RESIDENCE PERMIT\nName: ADA BERG\nPermit No: RP00000001"), (2, "nothing"), (3, "AADHAAR\nAda Berg\nS/O Otto Berg")]
+    texts = spark.createDataFrame(rows, "doc_id int, raw_text string")
+    texts.write.parquet(str(tmp_path / "in"))
+    names = ["doc_id", "document_type", "status", "identity.full_name", "manual_review_reasons"]
+    stream = pipeline.screen(spark.readStream.schema(texts.schema).parquet(str(tmp_path / "in"))).select(*names)
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    table = pipeline.screen(texts)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, table.select(*names).collect()))
+    # Each branch reads its own part of what was classified once.
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(processor") == len(pipeline.PROCESSORS) and "rlike AADHAAR" not in plan
+
+
 def test_shared_folder(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "in"))
     make = lambda: spark.read.parquet(str(tmp_path / "in"))
