@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docscreen.llm import decontamination, near_dedup, pii, sentencepiece_codec, toxicity
-from docscreen.llm.common import materialize, table
+from docscreen.llm.common import materialize, sized, table
 from docscreen.llm.queries import model_path, pii_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least Jaccard index, in percent, of shingles that makes two documents near duplicates; op7's contract of 85 binds that query alone.
 NEAR_PERCENT = 80
+#: Documents for a task that writes them.
+TASK_ROWS = 20_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near duplicates."""
     gone = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return sized(kept, docs.count() / TASK_ROWS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
