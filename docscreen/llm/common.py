@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.packaging import ship
 from ..sources.shared import save, shared_path
 
+#: Bytes that a Python function gets at once.
+PIECE_BYTES = 4_000_000
+
 #: Whitespace of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = "\t\n\x0b\x0c\r"
 
@@ -49,16 +52,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors. Python workers wait for their next task with little memory."""
+    """``mapInArrow`` with this package at hand on the executors. Long texts come in pieces of a batch, so that results are
+    handed on in pieces too; workers wait for their next task with little memory."""
     ship(df.sparkSession)
 
     def tidy(batches):
-        yield from run(batches)
+        yield from run(pieces(batches))
         give_back()
 
     return df.mapInArrow(tidy, schema)
 
 
+def pieces(batches):
+    """Batches of more than PIECE_BYTES in parts of about that size."""
+    for b in batches:
+        step = b.num_rows if b.nbytes <= PIECE_BYTES else max(1, b.num_rows * PIECE_BYTES // b.nbytes)
+        for i in range(0, b.num_rows, max(1, step)):
+            yield b.slice(i, step)
+
+
 def give_back() -> None:
     """Return memory that is free to the system."""
     import ctypes
