@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import assign_dates, first_in_years, iso_or_null
 from ..functions.lookup import country_code, gender, nationality
-from ..functions.text import all_but_last, clean_noise, col, collapse, find_first, full_name, given_of, group_id, group_vid, last_word, lines, missing, once, present, surname_of
+from ..functions.text import all_but_last, clean_noise, collapse, find_first, full_name, given_of, group_id, group_vid, last_word, lines, missing, once, present, surname_of
 
 _DATE = r"\d{1,2}[\/\-\.]\d{1,2}[\/\-\.]\d{2,4}"
 _DATE_COLON = r"\d{1,2}[\/\-\.:]\d{1,2}[\/\-\.:]\d{2,4}"
