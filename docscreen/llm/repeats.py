@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, sized
-from .hashing import mix
 
 #: Most hulls of one anchor that one task compares.
 MOST = 8192
