@@ -114,3 +114,13 @@ def test_repeated_rows_and_null_ids(spark):
     out = [(r.doc_id, r.n_removed > 0) for r in suffix_dedup.remove_repeats(docs).collect()]
     assert Counter(out) == Counter([(3, False), (3, False), (None, True), (None, True), (None, False), (4, True), (5, True)])
     assert SCHEMA.startswith("doc_id")
+
+
+def test_pieces_of_batches():
+    import pyarrow as pa
+
+    from docscreen.llm.common import PIECE_BYTES, pieces
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(11)), pa.array(["x" * 1_000_000] * 11)], ["i", "t"])
+    parts = list(pieces([batch, batch.slice(0, 0), batch.slice(3, 1)]))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == [*range(11), 3] and max(p.nbytes for p in parts) <= PIECE_BYTES + 1000
