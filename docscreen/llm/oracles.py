@@ -50,5 +50,14 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> last THEN last END AS refers_to
         FROM m""",
+    "op11_pivot_index": """
+        WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+             g AS (SELECT * FROM e WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+             link AS (SELECT a.r, a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+             edge AS (SELECT DISTINCT a, b FROM link),
+             reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+             least AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY 1),
+             n AS (SELECT r, count(*) AS n FROM link GROUP BY 1)
+        SELECT vec_id, coalesce(n, 0) AS n_links, CAST(least(vec_id, coalesce(m, vec_id)) AS BIGINT) AS component_id, coalesce(m, vec_id) >= vec_id AS kept FROM e LEFT JOIN n USING (r) LEFT JOIN least USING (vec_id)""",
     "op9_licenses": licenses.sql("documents", "concat_ws('/', '', source, lang, CAST(doc_id AS VARCHAR))"),
 }

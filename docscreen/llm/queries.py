@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, decontamination, licenses, near_dedup, pii, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity, warc
+from . import compression_quality, decontamination, licenses, near_dedup, pii, pivot_index, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity, warc
 from .common import table
 
 BASE = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -71,6 +71,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.quality(table(spark, sf_dir, "documents")).select(*BASE, F.round("ratio", 6).alias("ratio"))
 
 
+def op11_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
