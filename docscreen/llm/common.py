@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,19 @@ def lower_ascii(text: str) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def split_bytes(raw: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Stretches between ASCII whitespace, some size bytes of text at a time."""
+    start = 0
+    while start < len(raw):
+        end = start + size
+        if end < len(raw):
+            cut = raw.rfind(b" ", start + 1, end)
+            end = cut if cut > 0 else raw.find(b" ", end)
+            end = end if end > 0 else len(raw)
+        yield raw[start:end].split()
+        start = end
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     return save(df, shared_path(df.sparkSession, name))

@@ -59,5 +59,21 @@ ORACLES: dict[str, str] = {
              least AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY 1),
              n AS (SELECT r, count(*) AS n FROM link GROUP BY 1)
         SELECT vec_id, coalesce(n, 0) AS n_links, CAST(least(vec_id, coalesce(m, vec_id)) AS BIGINT) AS component_id, coalesce(m, vec_id) >= vec_id AS kept FROM e LEFT JOIN n USING (r) LEFT JOIN least USING (vec_id)""",
+    # Every pair with every kept term, zeros written out.
+    "op12_source_divergence": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
+             w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+             k AS (SELECT lang, term, count(*) AS c FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+             l AS (SELECT lang, count(term) AS v, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang FROM d) LEFT JOIN k USING (lang) GROUP BY lang),
+             g AS (SELECT DISTINCT lang, source FROM d),
+             c AS (SELECT lang, source, term, count(*) AS c FROM w GROUP BY ALL),
+             z AS (SELECT g.lang, g.source, k.term, k.c AS total, coalesce(c.c, 0) AS c FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+             s AS (SELECT lang, source, sum(c) AS n FROM z GROUP BY ALL),
+             p AS (SELECT z.*, 1 + CAST(1000000000 AS HUGEINT) * (z.c + 2) // (s.n + 2 * l.v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (z.total + 2) // (l.n + 2 * l.v) AS q FROM z JOIN s USING (lang, source) JOIN l USING (lang)),
+             pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+             ranked AS (
+                 SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+                 UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM ranked QUALIFY part = 'pair' OR rank <= 10""",
     "op9_licenses": licenses.sql("documents", "concat_ws('/', '', source, lang, CAST(doc_id AS VARCHAR))"),
 }
