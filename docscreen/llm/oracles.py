@@ -75,5 +75,20 @@ ORACLES: dict[str, str] = {
                  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
                  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q)
         SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM ranked QUALIFY part = 'pair' OR rank <= 10""",
+    "op13_collocations": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
+             p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM d),
+             n AS (SELECT lang, sum(len(ws)) AS n FROM p GROUP BY 1),
+             f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+                   FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k)) GROUP BY ALL HAVING count(*) >= 100),
+             c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+             cut AS (SELECT c.*, i, array_to_string(w[:i], ' ') AS lp, array_to_string(w[i + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS i FROM c) c),
+             s AS (SELECT cut.lang, cut.phrase, cut.k, cut.f AS a, l.f AS l, r.f AS r, n.n, CAST(1000 AS HUGEINT) * cut.f * n.n // (CAST(l.f AS HUGEINT) * r.f) AS score, i
+                   FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = lp JOIN f r ON r.lang = cut.lang AND r.phrase = rp JOIN n ON n.lang = cut.lang
+                   QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, i) = 1),
+             inside AS (SELECT DISTINCT lang, array_to_string(w[j:j + m - 1], ' ') AS phrase, f FROM (SELECT *, unnest(range(1, k - m + 2)) AS j FROM (SELECT *, unnest(range(2, k)) AS m FROM c)))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM s WHERE NOT EXISTS (SELECT 1 FROM inside WHERE inside.lang = s.lang AND inside.phrase = s.phrase AND 100 * inside.f >= 100 * s.a)
+        QUALIFY rank <= 2000""",
     "op9_licenses": licenses.sql("documents", "concat_ws('/', '', source, lang, CAST(doc_id AS VARCHAR))"),
 }

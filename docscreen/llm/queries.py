@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, decontamination, licenses, near_dedup, pii, pivot_index, sentencepiece_codec, source_divergence, substring_dedup, suffix_dedup, toxicity, warc
+from . import collocations, compression_quality, decontamination, licenses, near_dedup, pii, pivot_index, sentencepiece_codec, source_divergence, substring_dedup, suffix_dedup, toxicity, warc
 from .common import table
 
 BASE = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -79,6 +79,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
