@@ -164,14 +164,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def code_by_join(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(ids, lead), each block of texts meeting its own words' numbers."""
     blocks = materialize(map_arrow(docs, _blocks, "block long, lang string, text binary, words array<string>"), "collocation-blocks")
-    known = blocks.select("block", "lang", F.explode("words").alias("word")).join(dictionary, ["lang", "word"]).select("block", "lang", "word", "id")
+    known = blocks.select(F.col("block").alias("of"), "lang", F.explode("words").alias("word")).join(dictionary, ["lang", "word"]).toDF("lang", "word", "of", "f", "id")
 
     def meet(texts: pa.Table, words: pa.Table) -> pa.Table:
         pairs = zip(texts["lang"].to_pylist(), texts["text"].to_pylist())
         return pa.Table.from_batches(_coded(_by_lang(words), pairs), pa.schema([("ids", pa.binary()), ("lead", pa.int32())]))
 
     ship(docs.sparkSession)
-    return blocks.select("block", "lang", "text").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(meet, "ids binary, lead int")
+    return blocks.select("block", "lang", "text").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(meet, "ids binary, lead int")
 
 
 # --- 3: n-grams --------------------------------------------------------------
