@@ -41,7 +41,9 @@ NEAR, SHARED = 12, 3
 SAMPLE, SAMPLE_BYTES = 4096, 16_000_000
 #: Pivots at least and at most; between them twice the root of the number of classes, so that lists grow with the root too.
 PIVOTS_LEAST, PIVOTS_MOST = 64, 2048
-BLOCK = 2048
+BLOCK = 1024
+#: Lists of more than a block whose sizes are broadcast; more are joined.
+LONG_LISTS = 100_000
 #: Pairs whose cosines are computed at once.
 PAIRS = 1 << 16
 
@@ -173,10 +175,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     keys = NEAR - shared + 1
     lists = map_arrow(index, lambda b: _listed(ranked.value, keys, b), f"{schema}, pivot int")
     name = ["label", "dim", "pivot"]
-    sizes = lists.groupBy(*name).count().where("count > 1").select(*name, F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    dealt = lists.join(sizes, name).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    sizes = lists.groupBy(*name).count().where(F.col("count") > block).select(*name, F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    sizes = materialize(sizes, "vector-long-lists")
+    few = sizes.count() <= LONG_LISTS
+    dealt = lists.join(F.broadcast(sizes) if few else sizes, name, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(*name, F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "cls", "node", "size", "v", "near")
+    if not few:  # else all blocks of a list would stay where the join has brought it
+        dealt = dealt.repartition(*name, "first", "second")
 
     def check(key: tuple, t: pa.Table) -> pa.Table:
         dim, pivot, first, second = (k.as_py() for k in key[1:])
