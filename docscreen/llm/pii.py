@@ -8,7 +8,8 @@ values get different ones, and who holds the key can invert them. Values that fa
 check, such as 16 digits with a wrong check digit, are left alone.
 
 Kinds: email (local part), phone, ip, card, iban, ssn, date, secret (hexadecimal tokens).
-Phone numbers begin with "+"; all spellings of one number have one pseudonym, since what is
+Addresses that differ in the case of A-Z have one pseudonym, each in its own case; an IBAN may be all in lower case, without spaces; the date of a time stamp
+(2020-12-25T10:00:00) counts, its time stays. Phone numbers begin with "+"; all spellings of one number have one pseudonym, since what is
 permuted are the digits after the country code. Numbers without "+" are left alone. Dates
 are read day first; one that is valid only month first is left alone. A letter of any script is permuted among the letters of its case nearby in Unicode. A token in upper case gets its lower-case form's pseudonym in upper case. One in mixed case
 keeps its pattern of digits and cases instead, since a digit can't carry the case back.
@@ -31,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_arrow
+from .common import lower_ascii, map_arrow
 
 KINDS = ("email", "phone", "ip", "card", "iban", "ssn", "date", "secret")
 ROUNDS = 8
+#: Characters of a value that is permuted as one number.
+LONG = 64
 DATE_FROM, DATE_TO = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 
 
@@ -54,7 +57,7 @@ class Permutation:
         if n < 2:
             return x
         bits = ((n - 1).bit_length() + 1) // 2
-        mask, tweak = (1 << bits) - 1, f"{tweak}|{n}"
+        mask, tweak = (1 << bits) - 1, f"{tweak}|{n:x}"
         while True:
             a, b = x >> bits, x & mask
             if back:
@@ -67,6 +70,19 @@ class Permutation:
             if x < n:
                 return x
 
+    def shift(self, x: list[int], radix: list[int], tweak: str, back: bool = False) -> list[int]:
+        """Permute a list of digits of these radices, of any length in linear time: a Feistel network of two halves, each shifted digit by digit by a key stream of the other."""
+        x, half = list(x), len(x) // 2
+        halves = (range(half), range(half, len(x)))
+        for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            to, of = halves[i % 2], halves[1 - i % 2]
+            seed = hashlib.blake2b(f"{tweak}|{len(x)}|{i}|".encode() + ",".join(str(x[k]) for k in of).encode(), key=self.key, digest_size=64).digest()
+            stream = b"".join(hashlib.blake2b(seed + k.to_bytes(8, "big"), key=self.key, digest_size=64).digest() for k in range(-(-len(to) // 8)))
+            for at, k in enumerate(to):
+                by = int.from_bytes(stream[8 * at : 8 * at + 8], "big")
+                x[k] = (x[k] - by if back else x[k] + by) % radix[k]
+        return x
+
 
 #: Character classes that a value's format keeps.
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -88,8 +104,11 @@ def class_of(c: str) -> str:
 
 
 def by_class(value: str, permute: Permutation, tweak: str, back: bool = False, classes: Callable[[str], str] = class_of) -> str:
-    """Permute a string among those with the same character class at each place."""
+    """Permute a string among those with the same character class at each place. A long one isn't read as one number, whose arithmetic would grow with its square."""
     radix = [classes(c) for c in value]
+    if len(value) > LONG:
+        new = permute.shift([r.index(c) for c, r in zip(value, radix)], [len(r) for r in radix], f"{tweak}|{hashlib.sha256('|'.join(r[0] + str(len(r)) for r in radix).encode()).hexdigest()}", back)
+        return "".join(r[k] for r, k in zip(radix, new))
     x, n = 0, 1
     for c, r in zip(value, radix):
         x, n = x * len(r) + r.index(c), n * len(r)
@@ -125,7 +144,8 @@ def _digits(value: str) -> str:
 
 def _email(v: str, p: Permutation, back: bool) -> str | None:
     local, _, domain = v.rpartition("@")
-    return by_class(local, p, "email", back) + "@" + domain
+    new = by_class(lower_ascii(local), p, "email", back)
+    return "".join(n.upper() if "A" <= c <= "Z" else n for c, n in zip(local, new)) + "@" + domain
 
 
 #: Country calling codes of one and two digits; all others have three.
@@ -160,12 +180,13 @@ def _card(v: str, p: Permutation, back: bool) -> str | None:
 
 
 def _iban(v: str, p: Permutation, back: bool) -> str | None:
-    s = v.replace(" ", "")
+    s = v.replace(" ", "").upper()
     if not 15 <= len(s) <= 34 or iban_number(s) % 97 != 1:
         return None
     body = by_class(s[4:], p, "iban|" + s[:2], back)
     check = 98 - iban_number(s[:2] + "00" + body) % 97
-    it = iter(f"{s[:2]}{check:02d}{body}")
+    new = f"{s[:2]}{check:02d}{body}"
+    it = iter(new.lower() if v.islower() else new)
     return "".join(c if c == " " else next(it) for c in v)
 
 
@@ -224,9 +245,9 @@ _NUMBERS = re.compile(
     | (?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,3})(?![\w-])
     | (?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w-]|\.\d)
     | (?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])
-    | (?P<date>(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}\.\d{1,2}\.\d{4}))(?![\w-]|\.\d)
+    | (?P<date>(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}\.\d{1,2}\.\d{4}))(?!(?!T\d\d:)[\w-]|\.\d)
     | (?P<card>\d(?:[ -]?\d){12,18})(?![\w-]|\.\d)
-    | (?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?)(?!\w)
+    | (?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?|[a-z]{2}\d{2}[a-z0-9]{11,30})(?!\w)
     )""",
     re.X | re.ASCII,
 )

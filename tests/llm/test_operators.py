@@ -601,3 +601,31 @@ def test_pipeline_near_dedup_from_80_percent(spark):
     assert index[0] > 0.85 > index[10] > 0.8 > index[20] > index[30]
     want = {i for i in sets if i % 10 == 0 or index[i - 1] < 0.8}
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, make(spark, rows), "").collect()} == want
+
+
+def test_pii_takes_values_of_any_length(spark):
+    local = "".join(random.Random(8).choice("abcXYZ019._é") for _ in range(100_000))
+    rows = [(1, f"to {local}x@example.com."), (2, f"{local}X@example.com"), (3, "a" * 3_045 + "@example.com"), (4, "b" * 65 + "@b.org"), (5, "b" * 64 + "@b.org")]
+    out = pii.pseudonymize(make(spark, rows), b"k")
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(r.n_email == 1 and r.text.lower() != dict(rows)[i].lower() for i, r in got.items())
+    assert got[1].text[3:-1].lower() == got[2].text.lower() and sum(a != b for a, b in zip(got[2].text, rows[1][1])) > 80_000
+    assert {r.doc_id: r.text for r in pii.pseudonymize(out.select("doc_id", "text"), b"k", back=True).collect()} == dict(rows)
+
+
+def test_pii_permutes_long_values_one_to_one():
+    p, radix = pii.Permutation(b"k"), [3, 2, 1, 4, 2]
+    every = [[a, b, 0, c, d] for a in range(3) for b in range(2) for c in range(4) for d in range(2)]
+    new = [p.shift(x, radix, "t") for x in every]
+    assert sorted(new) == every and [p.shift(x, radix, "t", True) for x in new] == every and new != every
+
+
+def test_pii_links_cases_and_sees_time_stamps():
+    p = pii.Permutation(b"k")
+    new = [pii.rewrite(x, p)[0] for x in ("Foo@example.com", "foo@example.com", "FOO@Example.com")]
+    assert len({x.lower() for x in new}) == 1 and new[0][:3].istitle() and new[2][:3].isupper() and [pii.rewrite(x, p, True)[0] for x in new] == ["Foo@example.com", "foo@example.com", "FOO@Example.com"]
+    text, found = pii.rewrite("at 2020-12-25T10:00:00Z and 2020-12-25 but not 2020-12-25Tx", p)
+    assert found["date"] == 2 and "T10:00:00Z" in text and text.split()[1][:10] == text.split()[3] and text.endswith("2020-12-25Tx")
+    low, up = pii.rewrite("de89370400440532013000", p)[0], pii.rewrite("DE89 3704 0044 0532 0130 00", p)[0]
+    assert low.upper() == up.replace(" ", "") != "DE89370400440532013000" and pii.rewrite(low, p, True)[0] == "de89370400440532013000"
+    assert pii.rewrite("de89370400440532013001", p) == ("de89370400440532013001", Counter())
