@@ -302,7 +302,7 @@ def _sampled(step: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             ids = np.append(np.frombuffer(raw.as_buffer(), np.uint32), np.zeros(LONGEST - 1, np.uint32))
             at = np.arange(lead + int(ids.sum(dtype=np.uint64) % np.uint64(step)), len(ids) - LONGEST + 1, step)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in ids[at[:, None] + np.arange(LONGEST)]], pa.binary())], ["ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[at[:, None] + np.arange(LONGEST)].tobytes()], pa.binary())], ["ids"])
 
 
 # --- 4: candidates -----------------------------------------------------------
@@ -323,7 +323,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         joined = size.n > DICTIONARY_WORDS or size.b > DICTIONARY_BYTES
     coded = materialize((code_by_join if joined else code_by_broadcast)(docs, dictionary), "collocation-codes")
     step = max(1, size.f // SAMPLE)
-    drawn = map_arrow(coded, lambda b: _sampled(step, b), "ids binary").collect()  # about SAMPLE rows of 20 bytes, and one for each row of coded
+    drawn = map_arrow(coded, lambda b: _sampled(step, b), "ids binary").collect()  # 20 bytes for each of about SAMPLE positions
     sample = np.frombuffer(b"".join(bytes(r.ids) for r in drawn), np.uint32).reshape(-1, LONGEST)
 
     levels, bits = [], None
