@@ -473,11 +473,32 @@ def skew_rules(spark, d):
     return q.select("id", quality.skew_angle(F.col("brightness") * 0.7 - 90.0, F.col("laplacian")).alias("angle"))
 
 
+def _session_events(spark, d):
+    """The frames of blink_runs as a stream in event time: six arrivals, a third of the frames one arrival late."""
+    from ..streaming import sessions
+
+    def run():
+        f = fixtures.frame(spark, d, fixtures.FRAMES, "frames")
+        late = (F.xxhash64("session_id", "ts") % 3 == 0).cast("int")
+        f = f.withColumn("arrival", F.greatest(F.lit(0), F.least(F.lit(5), F.floor(F.datediff("ts", F.lit("2024-01-01")) / 6).cast("int") + late)))
+        return sessions.run_table(spark, f, "13 days", sessions.Rules(timeout=20 * 86400.0, stable=12, idle=40 * 86400.0))
+
+    return written(spark, f"{d}|session_events", [f"{d}/events.parquet"], run)
+
+
 def blink_stream(spark, d):
-    """The streaming twin of blink_runs, over the same frames as a file stream."""
-    from ..streaming.blink import blink_stream as stream
+    """The streaming twin of blink_runs."""
+    return _session_events(spark, d).where("kind = 'blink'").select("session_id", "ts")
+
+
+def liveness_stream(spark, d):
+    """The streaming twin of liveness: told when a session is closed."""
+    return _session_events(spark, d).where("kind = 'closed'").select("session_id", F.col("captured").alias("liveness_verified"), F.col("ts").alias("captured_at"))
+
 
-    return stream(spark, fixtures.frame(spark, d, fixtures.FRAMES, "frames"))
+def auto_capture_stream(spark, d):
+    """The streaming twin of auto_capture; a timer ends a loop whose time is up, so none ends for want of frames."""
+    return _session_events(spark, d).where("kind = 'capture'").select("session_id", "ended_by", "captured", "frame")
 
 
 NOT_QUERIES = {"DataFrame", "SparkSession", "written"}

@@ -312,6 +312,11 @@ ORACLES: dict[str, str] = {
         e AS (SELECT session_id, n, CASE WHEN us > 1728000000000 THEN 'timeout' WHEN "key" = ' ' THEN 'key' WHEN "key" = 'q' THEN 'cancelled' WHEN n > 12 THEN 'auto' END AS ended FROM n),
         f AS (SELECT * FROM e WHERE ended IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n) = 1)
         SELECT s.session_id, coalesce(ended, 'stream_end') AS ended_by, coalesce(ended IN ('key', 'auto'), false) AS captured, n AS frame FROM (SELECT DISTINCT session_id FROM frames) s LEFT JOIN f USING (session_id)""",
+    "liveness_stream": f"{_BLINKS} SELECT f.session_id, min(b.ts) IS NOT NULL AS liveness_verified, min(b.ts) AS captured_at FROM (SELECT DISTINCT session_id FROM frames) f LEFT JOIN blink b USING (session_id) GROUP BY f.session_id",
+    "auto_capture_stream": f"""{FRAMES}, n AS (SELECT *, row_number() OVER w AS n, epoch_us(ts) - epoch_us(first(ts) OVER w) AS us FROM frames WINDOW w AS (PARTITION BY session_id ORDER BY ts)),
+        e AS (SELECT session_id, n, us, CASE WHEN us > 1728000000000 THEN 'timeout' WHEN "key" = ' ' THEN 'key' WHEN "key" = 'q' THEN 'cancelled' WHEN n > 12 THEN 'auto' END AS ended FROM n),
+        f AS (SELECT session_id, arg_min(ended, n) FILTER (ended IS NOT NULL) AS ended, min(n) FILTER (ended IS NOT NULL) AS n, count(*) FILTER (us <= 1728000000000) AS looked FROM e GROUP BY session_id)
+        SELECT session_id, coalesce(ended, 'timeout') AS ended_by, coalesce(ended IN ('key', 'auto'), false) AS captured, CASE WHEN coalesce(ended, 'timeout') = 'timeout' THEN looked ELSE n END AS frame FROM f""",
     "quality_rules": f"""{STATS}, r AS (SELECT *, CASE WHEN laplacian < 80 THEN 'BLURRY' WHEN laplacian < 200 THEN 'MODERATE' ELSE 'SHARP' END AS blur, CASE WHEN brightness < 50 THEN 'Image is very dark / underexposed.' WHEN brightness > 220 OR glare > 15 THEN 'Image is washed out / glare detected (' || round(glare, 1) || '% saturated).' END AS light FROM stats),
         s AS (SELECT *, greatest(10.0, 100.0 - CASE blur WHEN 'BLURRY' THEN 35.0 WHEN 'MODERATE' THEN 10.0 ELSE 0.0 END - CASE WHEN light IS NOT NULL THEN 20.0 ELSE 0.0 END - CASE WHEN width >= 400 AND height >= 300 THEN 0.0 ELSE 25.0 END)::DOUBLE AS score FROM r)
         SELECT id, score AS quality_score, blur AS blur_status, round(glare, 2) AS glare_percentage, width || 'x' || height AS resolution, score >= 50 AS is_acceptable,
