@@ -61,19 +61,65 @@ def test_slots(spark):
     def ocr(data):
         return [data.decode(), str(1 // len(data))]
 
-    got = {r.doc_id: r.ocr for r in slots.fill(docs, "ocr", ocr).collect()}
-    assert got == {1: ["one", "0"], 2: None, 3: None}
-    assert [f.dataType.simpleString() for f in slots.fill(slots.fill(docs, "faces"), "zone_record").schema.fields[2:]] == [slots.SLOTS["faces"].replace(" ", ""), slots.SLOTS["zone_record"]]
+    got = {r.doc_id: (r.ocr, r.ocr_error) for r in slots.fill(docs, "ocr", slots.each("plain", ocr)).collect()}
+    assert got == {1: (["one", "0"], None), 2: (None, "ZeroDivisionError: integer division or modulo by zero"), 3: (None, None)}
+    empty = slots.fill(slots.fill(docs, "faces"), "zone_record", keep_content=False)
+    assert [f"{n} {t}" for n, t in empty.dtypes] == ["doc_id int", "faces " + slots.SLOTS["faces"].replace(" ", ""), "faces_error string", "zone_record " + slots.SLOTS["zone_record"], "zone_record_error string"]
     texts = spark.createDataFrame([(1, "raw", "P<ZONE"), (2, "raw", None)], "doc_id int, raw_text string, zone_text string")
     assert [r.raw_text for r in pipeline.with_zone_text(texts).orderBy("doc_id").collect()] == ["raw\nP<ZONE", "raw"]
 
 
+def test_slots_load_a_model_once_and_feed_it_lists(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def load():
+        with open(log, "a") as f:
+            f.write(f"load {os.getpid()}\n")
+
+        def run(values):
+            with open(log, "a") as f:
+                f.write(f"batch {len(values)}\n")
+            if b"bad" in values:
+                raise RuntimeError("bad page")
+            return [None if v == b"none" else [len(v)] if v == b"odd" else [len(v) / 2] for v in values]
+
+        return run
+
+    rows = [(i, b"bad" if i == 17 else b"none" if i == 18 else b"x" * (i + 1)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id int, content binary").repartition(8, "doc_id")
+    got = {r.doc_id: (r.v, r.v_error) for r in slots.fill(docs, "embedding", slots.Model(f"counted {tmp_path}", load, 16), name="v", keep_content=False).collect()}
+    assert got == {i: ([(i + 1) / 2], None) if i not in (17, 18) else (None, "RuntimeError: bad page" if i == 17 else None) for i in range(400)}
+    lines = [x.split() for x in open(log)]
+    loads, sizes = [p for k, p in lines if k == "load"], [int(n) for k, n in lines if k == "batch"]
+    assert len(loads) == len(set(loads)) <= 8 and max(sizes) == 16 and sum(n > 1 for n in sizes) >= 24
+    # What can't be loaded, or gives another type or number of results, fails for its own values only.
+    broken = slots.Model(f"broken {tmp_path}", lambda: 1 / 0)
+    assert {r.v_error for r in slots.fill(docs.limit(3), "embedding", broken, name="v").collect()} == {"ZeroDivisionError: division by zero"}
+    short = slots.fill(docs.limit(3), "embedding", slots.Model(f"short {tmp_path}", lambda: lambda values: []), name="v").collect()
+    assert all(r.v is None and "0 results for 1 values" in r.v_error for r in short)
+    words = slots.fill(docs.limit(2), "embedding", slots.each(f"words {tmp_path}", lambda v: "text"), name="v").collect()
+    assert all(r.v is None and "Arrow" in r.v_error for r in words)
+
+
+def test_png_of_crops():
+    import zlib
+
+    pixels = np.random.default_rng(0).integers(0, 256, (3, 5, 3), dtype=np.uint8)
+    file = slots.png(pixels)
+    assert file[:8] == bytes.fromhex("89504E470D0A1A0A") and file[12:16] == b"IHDR" and file[-8:-4] == b"IEND"
+    size = int.from_bytes(file[33:37], "big")
+    raw = np.frombuffer(zlib.decompress(file[41 : 41 + size]), np.uint8).reshape(3, 16)
+    assert (raw[:, 0] == 0).all() and (raw[:, 1:].reshape(3, 5, 3) == pixels[:, :, ::-1]).all()
+
+
 def test_crop_and_statistics(spark):
     pixels = np.arange(4 * 5 * 3, dtype=np.uint8).reshape(4, 5, 3)
     image = spark.createDataFrame([(("o", 4, 5, 3, 16, bytes(pixels.tobytes())),)], "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
     box = face.pad_box(F.lit(1), F.lit(1), F.lit(2), F.lit(2), F.lit(5), F.lit(4), 0.0)
-    cut = image.select(slots.crop("image", box).alias("c"), slots.crop("image", face.pad_box(F.lit(9), F.lit(1), F.lit(2), F.lit(2), F.lit(5), F.lit(4))).alias("none")).first()
-    assert (cut.c.height, cut.c.width) == (2, 2) and bytes(cut.c.data) == pixels[1:3, 1:3].tobytes() and cut.none is None
+    outside = face.pad_box(F.lit(9), F.lit(1), F.lit(2), F.lit(2), F.lit(5), F.lit(4))
+    cut = slots.with_crop(image.select("image", F.lit(7).alias("id"), box.alias("box"))).unionByName(slots.with_crop(image.select("image", F.lit(8).alias("id"), outside.alias("box"))))
+    files_ = {r.id: r.face_png for r in cut.collect()}
+    assert bytes(files_[7]) == slots.png(pixels[1:3, 1:3]) and files_[8] is None and "image" not in cut.columns
     r = np.random.default_rng(1)
     gray = r.integers(0, 256, (30, 40, 1), dtype=np.uint8)
     lap, mean, deviation, glare = quality.pixel_stats(gray.tobytes(), 30, 40, 1)
