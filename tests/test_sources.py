@@ -38,6 +38,26 @@ def test_scan_isolates_errors(spark, folder):
     assert {os.path.basename(r.path): r.error for r in files.uploads(found.drop("error", "is_valid", "message", "file_hash", "error_code")).collect()}["d.bmp"] == "ERR_EMPTY_FILE"
 
 
+def test_scan_survives_bad_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    for name, data in {"good.png": PNG, "deep/er/also.PNG": PNG, "empty.jpg": b"", "deep/gone.png": PNG, "deep/broken.png": PNG, "notes.txt": b"x"}.items():
+        (tmp_path / name).write_bytes(data)
+    listed = files.list_files(spark, str(tmp_path))
+    assert {os.path.basename(r.path): r.length for r in listed.collect()} == {"good.png": 12, "also.PNG": 12, "empty.jpg": 0, "gone.png": 12, "broken.png": 12}
+    # Between the listing and the reading one file goes, and another becomes something that can't be read.
+    (tmp_path / "deep" / "gone.png").unlink()
+    (tmp_path / "deep" / "broken.png").unlink()
+    (tmp_path / "deep" / "broken.png").mkdir()
+    found = validate.validate_files(files.open_files(listed))
+    got = {os.path.basename(r.path): (r.error, (r.read_error or "").partition(":")[0]) for r in found.collect()}
+    assert got == {"good.png": (None, ""), "also.PNG": (None, ""), "empty.jpg": ("ERR_EMPTY_FILE", ""), "gone.png": ("ERR_FILE_NOT_FOUND", "FileNotFoundError"), "broken.png": ("ERR_FILE_READ", got["broken.png"][1])} and got["broken.png"][1]
+    records = pipeline.error_record(found, F.lit("id"), F.current_timestamp())
+    assert {r.error_codes[0] for r in records.collect()} == {"ERR_EMPTY_FILE", "ERR_FILE_NOT_FOUND", "ERR_FILE_READ"}
+    assert {os.path.basename(r.path) for r in files.scan(spark, f"{tmp_path}/[ge]*").collect()} == {"good.png", "empty.jpg"}
+    assert [(r.error, r.content) for r in files.scan(spark, str(tmp_path / "nowhere.png")).collect()] == [("ERR_FILE_NOT_FOUND", None)]
+    assert files.scan(spark, f"file://{tmp_path}/deep/er").first().file_hash == files.scan(spark, str(tmp_path / "good.png")).first().file_hash
+
+
 def test_landing_stream_keeps_files_that_are_too_large(spark, folder, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("out"))
     stream = validate.validate_files(files.landing_stream(spark, f"{folder}/*.[pbJ]*"))
