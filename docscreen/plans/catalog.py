@@ -501,6 +501,22 @@ def auto_capture_stream(spark, d):
     return _session_events(spark, d).where("kind = 'capture'").select("session_id", "ended_by", "captured", "frame")
 
 
+def ingest_records(spark, d):
+    """Files made of the screening texts through the ingest stream: some with a wrong header, some empty, each tenth twice."""
+    from ..operators import slots
+    from ..streaming import ingest
+
+    header = F.unhex(F.when(F.col("doc_id") % 13 == 0, "47494638").otherwise({k: m for m, k in validate.MAGIC.items()}["PNG"]))
+    content = F.when(F.col("doc_id") % 17 == 0, F.unhex(F.lit(""))).otherwise(F.concat(header, F.col("raw_text").cast("binary")))
+    names = F.when(F.col("doc_id") % 10 == 9, F.array(F.lit(".png"), F.lit("_again.png"))).otherwise(F.array(F.lit(".png")))
+    f = _texts(spark, d).select("doc_id", content.alias("content"), F.explode(names).alias("name"))
+    f = f.select(F.concat(F.lit("/inbox/"), "doc_id", "name").alias("path"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("modificationTime"), F.octet_length("content").cast("long").alias("length"), "content")
+    out = ingest.run_table(spark, f, slots.Model("text after the header", lambda: lambda values: [[v[8:].decode()] for v in values], 500))
+    records = ingest.written(spark, out, "records").select(F.col("file_hash_sha256").alias("name"), "document_type", "status", "manual_review_required", F.lit("").alias("code"))
+    errors = ingest.written(spark, out, "errors").select(F.col("input_file").alias("name"), "document_type", "status", "manual_review_required", F.col("error_codes")[0].alias("code"))
+    return records.unionAll(errors)
+
+
 NOT_QUERIES = {"DataFrame", "SparkSession", "written"}
 
 

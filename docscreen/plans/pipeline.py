@@ -182,10 +182,13 @@ def with_review(records: DataFrame) -> DataFrame:
     return out.withColumn("error_codes", F.when(F.col("manual_review_required"), F.array(F.lit("E009"))).otherwise(F.array().cast("array<string>")))
 
 
-def screen(docs: DataFrame) -> DataFrame:
-    """docs: any columns with raw_text, and if known a ``quality`` report. Each row with its record, scores and review decision."""
+def screen(docs: DataFrame, stored: bool = False) -> DataFrame:
+    """docs: any columns with raw_text, and if known a ``quality`` report. Each row with its record, scores and review decision.
+
+    stored: docs is a small table that may be read and classified once for each processor; else the classified rows are written first.
+    """
     typed = docs.transform(with_text).transform(with_type)
-    if not docs.isStreaming:
+    if not (docs.isStreaming or stored):
         typed = save(typed, shared_path(docs.sparkSession, "classified"), ("processor",))
     return typed.transform(with_record).transform(with_review)
 
