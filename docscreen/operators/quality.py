@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 STATS = "laplacian double, brightness double, contrast double, glare double, width int, height int"
 
 
-def pixel_stats(data: bytes, height: int, width: int, channels: int) -> tuple[float, float, float, float]:
-    """Laplacian variance, mean, deviation and percentage of near-white pixels of rows of BGR bytes."""
+def gray(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """Rows of BGR (or gray) bytes as gray levels."""
     a = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     if channels >= 3:
-        gray = np.rint(a[..., 0] * 0.114 + a[..., 1] * 0.587 + a[..., 2] * 0.299)
-    else:
-        gray = a[..., 0].astype(float)
-    edge = np.pad(gray, 1, mode="reflect" if min(gray.shape) > 1 else "edge")
-    lap = edge[:-2, 1:-1] + edge[2:, 1:-1] + edge[1:-1, :-2] + edge[1:-1, 2:] - 4 * gray
-    return float(lap.var()), float(gray.mean()), float(gray.std()), float((gray >= 245).mean() * 100)
+        return np.rint(a[..., 0] * 0.114 + a[..., 1] * 0.587 + a[..., 2] * 0.299)
+    return a[..., 0].astype(float)
+
+
+def pixel_stats(data: bytes, height: int, width: int, channels: int) -> tuple[float, float, float, float]:
+    """Laplacian variance, mean, deviation and percentage of near-white pixels of rows of BGR bytes."""
+    g = gray(data, height, width, channels)
+    edge = np.pad(g, 1, mode="reflect" if min(g.shape) > 1 else "edge")
+    lap = edge[:-2, 1:-1] + edge[2:, 1:-1] + edge[1:-1, :-2] + edge[1:-1, 2:] - 4 * g
+    return float(lap.var()), float(g.mean()), float(g.std()), float((g >= 245).mean() * 100)
 
 
 def with_stats(images: DataFrame) -> DataFrame:
@@ -68,4 +72,4 @@ def report(laplacian: Column, brightness: Column, contrast: Column, glare: Colum
 def skew_angle(rect_angle: Column, n_points: Column) -> Column:
     """Correction angle of a least-area rectangle: normalized to (-45, 45], 0 for under half a degree, over 30 degrees or under 100 points."""
     angle = F.when(rect_angle < -45, -(rect_angle + 90)).when(rect_angle > 45, -(rect_angle - 90)).otherwise(-rect_angle)
-    return F.when((n_points < 100) | (F.abs(angle) < 0.5) | (F.abs(angle) > 30.0), 0.0).otherwise(F.round(angle, 2))
+    return F.when(n_points.isNull(), None).when((n_points < 100) | (F.abs(angle) < 0.5) | (F.abs(angle) > 30.0), 0.0).otherwise(F.round(angle, 2))

@@ -473,6 +473,15 @@ def skew_rules(spark, d):
     return q.select("id", quality.skew_angle(F.col("brightness") * 0.7 - 90.0, F.col("laplacian")).alias("angle"))
 
 
+def deskew_pages(spark, d):
+    """Pages drawn for the parts, each turned by its key: the skew found, and what is left of it once the page is straightened."""
+    from ..operators import deskew
+
+    found = deskew.with_skew(fixtures.pages(spark, d))
+    left = deskew.with_skew(deskew.straighten(found), name="left")
+    return left.select("id", F.round("skew_angle").cast("int").alias("degrees"), ((F.col("skew_angle") == 0) | (F.abs("left_angle") <= 0.5)).alias("straight"))
+
+
 def _session_events(spark, d):
     """The frames of blink_runs as a stream in event time: six arrivals, a third of the frames one arrival late."""
     from ..streaming import sessions

@@ -129,6 +129,39 @@ STATS = """
             CAST((event_id * 3) % 300 AS DOUBLE) / 10.0 AS glare, CAST(300 + (event_id * 19) % 500 AS INT) AS width, CAST(200 + (event_id * 41) % 400 AS INT) AS height FROM {events}
     )"""
 
+IMAGE = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+
+
+def draw_page(degrees: float, width: int = 240, height: int = 200, lines: int = 5) -> bytes:
+    """Gray pixels of a page with lines of text, as bars, turned clockwise by so many degrees."""
+    import numpy as np
+
+    y, x = np.mgrid[0:height, 0:width]
+    x, y, a = x - width // 2, y - height // 2, np.radians(degrees)
+    along, down = x * np.cos(a) + y * np.sin(a), y * np.cos(a) - x * np.sin(a) + 7 * lines
+    ink = (np.abs(along) < 75) & (down >= 0) & (down < 14 * lines) & (down % 14 < 8)
+    return np.where(ink, 40, 225).astype(np.uint8).tobytes()
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, image): a page for each part, turned by the part's key."""
+    import pyarrow as pa
+
+    from ..sources.packaging import ship
+
+    ship(spark)
+
+    def run(batches):
+        for b in batches:
+            for key, degrees in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                image = {"origin": f"/pages/{key}", "height": 200, "width": 240, "nChannels": 1, "mode": 0, "data": draw_page(degrees)}
+                kind = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([image], kind)], ["id", "image"])
+
+    parts = spark.sql(f"SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_partkey % 83 - 41 AS DOUBLE) AS degrees FROM parquet.`{sf_dir}/part.parquet`")
+    return parts.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, f"id long, {IMAGE}")
+
+
 TABLES = ("customer", "orders", "part", "events", "nation", "documents")
 
 

@@ -312,6 +312,7 @@ ORACLES: dict[str, str] = {
         e AS (SELECT session_id, n, CASE WHEN us > 1728000000000 THEN 'timeout' WHEN "key" = ' ' THEN 'key' WHEN "key" = 'q' THEN 'cancelled' WHEN n > 12 THEN 'auto' END AS ended FROM n),
         f AS (SELECT * FROM e WHERE ended IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n) = 1)
         SELECT s.session_id, coalesce(ended, 'stream_end') AS ended_by, coalesce(ended IN ('key', 'auto'), false) AS captured, n AS frame FROM (SELECT DISTINCT session_id FROM frames) s LEFT JOIN f USING (session_id)""",
+    "deskew_pages": "SELECT CAST(p_partkey AS BIGINT) AS id, CAST(CASE WHEN abs(p_partkey % 83 - 41) <= 30 THEN p_partkey % 83 - 41 ELSE 0 END AS INT) AS degrees, true AS straight FROM part",
     "liveness_stream": f"{_BLINKS} SELECT f.session_id, min(b.ts) IS NOT NULL AS liveness_verified, min(b.ts) AS captured_at FROM (SELECT DISTINCT session_id FROM frames) f LEFT JOIN blink b USING (session_id) GROUP BY f.session_id",
     "auto_capture_stream": f"""{FRAMES}, n AS (SELECT *, row_number() OVER w AS n, epoch_us(ts) - epoch_us(first(ts) OVER w) AS us FROM frames WINDOW w AS (PARTITION BY session_id ORDER BY ts)),
         e AS (SELECT session_id, n, us, CASE WHEN us > 1728000000000 THEN 'timeout' WHEN "key" = ' ' THEN 'key' WHEN "key" = 'q' THEN 'cancelled' WHEN n > 12 THEN 'auto' END AS ended FROM n),
