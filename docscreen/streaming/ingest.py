@@ -19,10 +19,7 @@ from ..functions.text import union_passes
 from ..operators import slots
 from ..operators.validate import EXTENSIONS, audit_events, error_code, mask_columns, validate_files
 from ..plans import pipeline
-from ..sources.shared import remove, shared_path
-
-#: What a batch keeps of its files while it writes.
-STAGED = "path string, modificationTime timestamp, length long, error string, message string, file_hash string, raw_text string"
+from ..sources.shared import remove, save, shared_path
 
 
 def checked(files: DataFrame, strict: bool = False, extensions: tuple[str, ...] = EXTENSIONS, copies_within: str | None = "1 hour") -> DataFrame:
@@ -35,7 +32,7 @@ def checked(files: DataFrame, strict: bool = False, extensions: tuple[str, ...]
 
 
 def recognized(files: DataFrame, model: slots.Model | None) -> DataFrame:
-    """STAGED rows: the model's passes joined to one text; a file that the model failed on has an error as well."""
+    """(path, modificationTime, length, error, message, file_hash, raw_text): the model's passes joined to one text; a file that the model failed on has an error as well."""
     # Files that failed their check don't reach the model.
     read = slots.fill(files.withColumn("content", F.when(F.col("error").isNull(), F.col("content"))), "ocr", model, keep_content=False)
     text = F.array_join(F.filter(F.transform("ocr", lambda p: union_passes(p)), lambda p: p != ""), "\n\n")
@@ -69,11 +66,13 @@ def write_batch(files: DataFrame, number: int, out: str, model: slots.Model | No
         rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{out}/{part}/batch={number}")
         return spark.read.schema(rows.schema).json(f"{out}/{part}/batch={number}")
 
-    # Each is written before it is used again: the model and the screening run once.
-    recognized(files, model).write.mode("overwrite").parquet(stage)
-    staged = spark.read.schema(STAGED).parquet(stage)
+    # Each is written before it is used again: the model, the classification and the screening run once.
+    typed = recognized(files, model).transform(pipeline.with_text).transform(pipeline.with_type)
+    remove(spark, stage)  # of a run that was stopped
+    staged = save(typed, stage, ("processor",))
     request, at = _request()
-    records = pipeline.final_record(pipeline.screen(staged.where("error is null"), stored=True), request, at, F.col("path"), F.col("file_hash"))
+    screened = staged.where("error is null").transform(pipeline.with_record).transform(pipeline.with_review)
+    records = pipeline.final_record(screened, request, at, F.col("path"), F.col("file_hash"))
     records = put("records", mask_columns(records) if masked else records)
     errors = pipeline.error_record(staged, request, at)
     errors = put("errors", errors.withColumn("error_code", error_code(F.col("error_codes")[0])))
