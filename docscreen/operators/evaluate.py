@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import distance
+from ..functions.text import base_name, distance
 
 
 def cer(predicted: Column, truth: Column) -> Column:
@@ -23,6 +23,36 @@ def compare(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return joined.select("filename", "field", "value", "predicted", same.alias("is_match"), cer(F.col("predicted"), F.col("value")).alias("cer"))
 
 
+def fields(records: DataFrame, sections: tuple[str, ...] = ("identity", "document", "additional_information")) -> DataFrame:
+    """(filename, field, value) of output records (final_record): the fields of their sections, a later section's where names repeat."""
+    named = [F.struct(F.lit(i).alias("i"), F.lit(f.name).alias("field"), F.col(s)[f.name].cast("string").alias("value")) for i, s in enumerate(sections) if s in records.columns for f in records.schema[s].dataType.fields]
+    long = records.select(base_name("input_file").alias("filename"), F.inline(F.array(*named))).where("value is not null")
+    return long.groupBy("filename", "field").agg(F.max_by("value", "i").alias("value"))
+
+
+def labelled(truth: DataFrame, records: DataFrame) -> DataFrame:
+    """The documents of ``per_document``: each labelled file with its true type and, if there is a record, what it was taken for. truth: (filename, field, value)."""
+    types = truth.groupBy("filename").agg(F.max(F.when(F.col("field") == "document_type", F.col("value"))).alias("true_type"))
+    elapsed = F.col("elapsed_ms") if "elapsed_ms" in records.columns else F.lit(None).cast("double")
+    seen = records.groupBy(base_name("input_file").alias("filename")).agg(F.max("document_type").alias("document_type"), F.max(elapsed).alias("elapsed_ms"), F.max("manual_review_required").alias("review"))
+    return types.join(seen, "filename", "left")
+
+
+def evaluate(truth: DataFrame, records: DataFrame) -> DataFrame:
+    """``per_document`` of output records against truth (filename, field, value)."""
+    return per_document(compare(truth, fields(records)), labelled(truth, records))
+
+
+def report(documents: DataFrame, at: Column, most: int = 100_000) -> DataFrame:
+    """One row: the corpus metrics and all documents' results, ordered by file. For at most so many documents; more are an error, for those write_report has folders."""
+    if (n := documents.count()) > most:
+        raise ValueError(f"{n} documents don't go into one report; the limit is {most}")
+    names = [c for c in documents.columns if c != "cer_sum"]
+    each = documents.agg(F.array_sort(F.collect_list(F.struct(*names))).alias("per_document_results"), F.lit(1).alias("one"))
+    whole = corpus(documents).select("*", F.lit(1).alias("one")).join(each, "one").drop("one")
+    return whole.select(at.alias("evaluation_timestamp"), "*")
+
+
 def per_document(compared: DataFrame, documents: DataFrame) -> DataFrame:
     """documents: (filename, true_type, document_type, elapsed_ms, review), one for each labelled file; type null if it wasn't processed."""
     sums = compared.groupBy("filename").agg(F.count("*").alias("n"), F.sum(F.col("is_match").cast("int")).alias("good"), F.sum("cer").alias("cer_sum"))

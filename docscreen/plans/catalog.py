@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from inspect import isfunction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -294,6 +296,14 @@ def eval_corpus(spark, d):
     return evaluate.corpus(evaluate.per_document(evaluate.compare(_truth(spark, d), _predicted(spark, d)), _documents(spark, d)))
 
 
+def eval_report(spark, d):
+    """The one report: the corpus and, in order, each document's results."""
+    done = evaluate.per_document(evaluate.compare(_truth(spark, d), _predicted(spark, d)), _documents(spark, d))
+    r = evaluate.report(done, F.lit("2024-01-02 03:04:05").cast("timestamp"), most=1_000_000)
+    each = F.array_join(F.transform("per_document_results", lambda x: F.concat_ws(":", x["filename"].cast("string"), x["document_type"], x["fields_correct"].cast("string"), x["fields_evaluated"].cast("string"))), ",")
+    return r.select("total_documents_tested", "classification_accuracy_pct", "field_accuracy_pct", "average_cer_pct", F.size("per_document_results").alias("n_documents"), F.md5(each).alias("documents"))
+
+
 # --- older extractors, records, readers -----------------------------------
 
 
@@ -526,11 +536,9 @@ def ingest_records(spark, d):
     return records.unionAll(errors)
 
 
-NOT_QUERIES = {"DataFrame", "SparkSession", "written"}
-
-
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if callable(v) and not k.startswith("_") and k not in NOT_QUERIES | {"queries", "oracle_sql"}}
+    """The functions of this module that are not helpers."""
+    return {k: v for k, v in globals().items() if isfunction(v) and v.__module__ == __name__ and not k.startswith("_") and k not in ("queries", "oracle_sql")}
 
 
 def oracle_sql() -> dict[str, str]:

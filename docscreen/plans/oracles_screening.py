@@ -183,6 +183,8 @@ SCREENING: dict[str, str] = {
     "ingest_records": f"""{SCREENED}, raws AS ({TEXT} SELECT doc_id, raw_text FROM texts), files AS (SELECT doc_id, raw_text, unnest(CASE WHEN doc_id % 10 = 9 THEN ['.png', '_again.png'] ELSE ['.png'] END) AS ending FROM raws)
         SELECT DISTINCT sha256(unhex('89504E470D0A1A0A') || encode(files.raw_text)) AS name, document_type, status, len(reasons) > 0 AS manual_review_required, '' AS code FROM files JOIN reviewed USING (doc_id) WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0
         UNION ALL SELECT '/inbox/' || doc_id || ending, 'UNKNOWN', 'ERROR', true, CASE WHEN doc_id % 17 = 0 THEN 'ERR_EMPTY_FILE' ELSE 'ERR_MALICIOUS_PAYLOAD' END FROM files WHERE doc_id % 13 = 0 OR doc_id % 17 = 0""",
+    "eval_report": f"""{_EVAL}, corpus AS (SELECT count(*) AS total_documents_tested, round(sum(CAST(correct AS INT)) / count(*) * 100.0, 2) AS classification_accuracy_pct, round(sum(good) / sum(n) * 100.0, 2) AS field_accuracy_pct, round(sum(cer) / sum(n), 2) AS average_cer_pct, CAST(count(*) AS INT) AS n_documents,
+            md5(string_agg(concat_ws(':', CAST(filename AS VARCHAR), document_type, CAST(good AS VARCHAR), CAST(n AS VARCHAR)), ',' ORDER BY filename)) AS documents FROM named) SELECT * FROM corpus""",
     "screening_summary": f"{SCREENED} SELECT document_type, level AS confidence_level, count(*) AS n, round(avg(confidence), 4) AS avg_confidence, round(avg(CAST(len(reasons) > 0 AS INT)), 4) AS review_rate, sum(CAST(status = 'VERIFIED' AS INT))::BIGINT AS verified FROM reviewed GROUP BY ALL",
     "eval_document": f"{_EVAL} SELECT filename, document_type, correct AS classification_correct, n AS fields_evaluated, good::BIGINT AS fields_correct, round(good / n * 100.0, 2) AS field_accuracy_pct, round(cer / n, 2) AS average_cer_pct FROM named",
     "eval_corpus": f"""{_EVAL} SELECT count(*) AS total_documents_tested, round(sum(CAST(correct AS INT)) / count(*) * 100.0, 2) AS classification_accuracy_pct, round(sum(good) / sum(n) * 100.0, 2) AS field_accuracy_pct, round(sum(cer) / sum(n), 2) AS average_cer_pct,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.validate import mask_columns
+from .shared import remove
 
 
 def write_records(records: DataFrame, path: str, masked: bool = False, form: str = "json", mode: str = "overwrite") -> None:
@@ -19,6 +20,21 @@ def append_audit(events: DataFrame, path: str) -> None:
     mask_columns(events).write.mode("append").partitionBy("audit_date").json(path)
 
 
+def write_run(rows: DataFrame, path: str, run: str, by: tuple[str, ...] = (), masked: bool = True, form: str = "json") -> None:
+    """Write a run's rows into folders of their own, by the run's name and then ``by`` (such as the audit's day): written again, they replace themselves and nothing else.
+
+    What the run wrote before is removed first, so folders that it has no rows for any more go too.
+    """
+    remove(rows.sparkSession, f"{path}/run={run}")
+    out = mask_columns(rows) if masked else rows
+    out.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy("run", *by).format(form).save(path)
+
+
+def write_single_report(report: DataFrame, path: str) -> None:
+    """The report of ``evaluate.report``, one row, as one JSON file in a folder."""
+    report.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def write_report(corpus: DataFrame, documents: DataFrame, path: str) -> None:
     """The evaluation report: corpus metrics and the list of documents' results."""
     corpus.write.mode("overwrite").json(f"{path}/corpus")

@@ -209,11 +209,43 @@ def test_table_function_drops_weak_second_lines(spark):
     assert [r.line for r in rows if r.kind == "first"] == want.a and [r.line for r in rows if r.kind == "second"] == want.b and [points(x) for x in want.b] == want.s
 
 
+def test_a_run_written_twice_is_there_once(spark, tmp_path):
+    rows = spark.createDataFrame([("20240101", "a", "123456789012"), ("20240102", "b", None)], "audit_date string, x string, id_number string")
+    for run, part in (("one", rows), ("two", rows), ("one", rows), ("one", rows.limit(1))):
+        sinks.write_run(part, str(tmp_path / "audit"), run, ("audit_date",))
+    back = spark.read.json(str(tmp_path / "audit")).collect()
+    assert sorted((r.run, r.x, r.id_number) for r in back) == [("one", "a", "XXXX-XXXX-9012"), ("two", "a", "XXXX-XXXX-9012"), ("two", "b", None)]
+    assert sorted(p.name for p in (tmp_path / "audit" / "run=one").glob("audit*")) == ["audit_date=20240101"]
+
+
+def test_evaluation_report(spark, tmp_path):
+    from docscreen.operators import evaluate
+
+    (tmp_path / "truth.json").write_text(json.dumps({"a.png": {"document_type": "PERMIT", "full_name": "ADA BERG", "nationality": "IND"}, "b.png": {"document_type": "VISA", "surname": "X"}}))
+    record = {"input_file": "/in/a.png", "document_type": "PERMIT", "manual_review_required": True, "identity": {"full_name": "Ada Berg", "nationality": None}, "document": {"document_number": "1", "nationality": "IDN"}}
+    (tmp_path / "records.json").write_text(json.dumps(record) + "\n")
+    truth, records = files.read_truth(spark, str(tmp_path / "truth.json")), spark.read.json(str(tmp_path / "records.json"))
+    assert {tuple(r) for r in evaluate.fields(records).collect()} == {("a.png", "full_name", "Ada Berg"), ("a.png", "document_number", "1"), ("a.png", "nationality", "IDN")}
+    done = evaluate.evaluate(truth, records)
+    sinks.write_single_report(evaluate.report(done, F.current_timestamp()), str(tmp_path / "report"))
+    (file,) = (tmp_path / "report").glob("*.json")
+    r = json.loads(file.read_text())
+    assert (r["total_documents_tested"], r["evaluated_documents"], r["classification_accuracy_pct"], r["field_accuracy_pct"], r["manual_review_rate_pct"]) == (2, 1, 50.0, 33.33, 50.0)
+    a, b = r["per_document_results"]
+    assert (a["filename"], a["fields_correct"], a["fields_evaluated"], a["average_cer_pct"]) == ("a.png", 1, 2, 33.34) and b["document_type"] is None and b["fields_correct"] == 0
+    with pytest.raises(ValueError, match="one report"):
+        evaluate.report(done, F.current_timestamp(), most=1)
+
+
 def test_command_line(tmp_path, folder):
     texts = tmp_path / "texts.json"
     texts.write_text(json.dumps({"doc_id": 1, "raw_text": "RESIDENCE PERMIT\nPermit No: RP00000001"}) + "\n")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = os.environ | {"PYTHONPATH": root, "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.ui.enabled=false pyspark-shell"}
-    for args in (["screen", str(texts), str(tmp_path / "out")], ["check", str(folder), str(tmp_path / "errors")]):
+    (tmp_path / "records.json").write_text(json.dumps({"input_file": "/in/a.png", "document_type": "PERMIT", "manual_review_required": True, "identity": {"full_name": "ADA"}}) + "\n")
+    (tmp_path / "truth.json").write_text(json.dumps({"a.png": {"document_type": "PERMIT", "full_name": "ADA"}}))
+    evaluation = ["evaluate", str(tmp_path / "records.json"), str(tmp_path / "truth.json"), str(tmp_path / "report")]
+    for args in (["screen", str(texts), str(tmp_path / "out")], ["check", str(folder), str(tmp_path / "errors")], evaluation):
         subprocess.run([sys.executable, "-m", "docscreen", *args], env=env, check=True, timeout=200, capture_output=True)
     assert '"document_type":"PERMIT"' in "".join(p.read_text() for p in (tmp_path / "out").glob("*.json")) and "ERR_EMPTY_FILE" in "".join(p.read_text() for p in (tmp_path / "errors").glob("*.json"))
+    assert '"field_accuracy_pct":100.0' in "".join(p.read_text() for p in (tmp_path / "report").glob("*.json"))
