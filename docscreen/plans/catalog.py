@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, lookup, mrz, text
 from ..operators import classify, evaluate, extract, face, legacy, quality, reconcile, score, validate
-from ..sources import sinks
+from ..sources import sinks, variants
 from ..sources.shared import written
 from . import fixtures, oracles, oracles_legacy, oracles_screening, pipeline
 
@@ -351,6 +351,16 @@ def json_access(spark, d):
     return rows.select("doc_id", F.try_element_at("m", F.lit("surname")).alias("surname"), F.size("m").alias("n_fields"), F.array_join(F.array_sort(F.transform(F.map_entries("f"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",").alias("flat"))
 
 
+def json_variants(spark, d):
+    """The fields of JSON records of several shapes, with their own types."""
+    c, name = F.col("corruption"), F.concat(F.lit('"surname": "'), "family", F.lit('"'))
+    whole = F.concat(F.lit('{"extracted_data": {'), name, F.lit(', "year": 2024, "tags": ["a", 1]}, "surname": "other"}'))
+    j = F.when(c < 3, whole).when(c < 5, F.concat(F.lit("{"), name, F.lit(', "year": 1.5}'))).when(c == 5, F.lit('{"extracted_data": "none", "year": "n/a"}')).when(c == 6, F.lit("{"))
+    rows = _texts(spark, d).select("doc_id", F.try_parse_json(j).alias("value"))
+    found = variants.fields(rows.select("doc_id", variants.get(F.col("value"), "year", "double").alias("year"), variants.record(F.col("value")).alias("value")), "value")
+    return found.select("doc_id", "key", F.to_json("field").alias("field"), "year")
+
+
 def final_records(spark, d):
     f = pipeline.final_record(_screened(spark, d), F.col("doc_id").cast("string"), F.lit("2024-01-02 03:04:05").cast("timestamp"), F.concat(F.lit("/in/"), "truth_type"), F.sha2("raw_text", 256))
     return f.select("module", "module_version", "schema_version", "request_id", "input_file", "file_hash_sha256", "document_type", "status", "manual_review_required", F.col("identity.full_name").alias("full_name"), F.col("document.document_number").alias("document_number"), F.md5("raw_ocr_text").alias("snippet"), F.array_join("error_codes", ",").alias("codes"))

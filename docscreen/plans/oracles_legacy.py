@@ -52,6 +52,10 @@ LEGACY: dict[str, str] = {
     "consistency_checks": f"""{TEXT}, o AS (SELECT *, CASE WHEN corruption < 3 THEN 1 WHEN corruption < 5 THEN 0 ELSE CAST(given1 = family AS INT) END + CAST(corruption < 4 OR issue_iso = birth_iso AS INT) AS good, CASE WHEN corruption IN (3, 4) THEN 1 ELSE 2 END AS known FROM texts)
         SELECT doc_id, CASE WHEN corruption < 6 THEN true END AS passport_number_match, {look_up('consistency_code', 'nation', 'nation')} = {look_up('consistency_code', 'code', 'code')} AS nationality_match, CASE WHEN sex <> '<' THEN true END AS gender_match,
             round(good / known * 100.0, 2) AS consistency, CASE corruption % 4 WHEN 0 THEN 'TD3' WHEN 1 THEN 'TD3' WHEN 2 THEN 'TD2' ELSE 'V' END AS mrz_type FROM o""",
+    "json_variants": f"""{TEXT} SELECT doc_id, x.k AS key, x.f AS field, CASE WHEN corruption < 3 THEN 2024.0::DOUBLE WHEN corruption < 5 THEN 1.5::DOUBLE END AS year FROM (SELECT doc_id, corruption, unnest(CASE
+        WHEN corruption < 3 THEN [{{'k': 'surname', 'f': '"' || family || '"'}}, {{'k': 'year', 'f': '2024'}}, {{'k': 'tags', 'f': '["a",1]'}}]
+        WHEN corruption < 5 THEN [{{'k': 'surname', 'f': '"' || family || '"'}}, {{'k': 'year', 'f': '1.5'}}]
+        WHEN corruption = 5 THEN [{{'k': 'extracted_data', 'f': '"none"'}}, {{'k': 'year', 'f': '"n/a"'}}] END) AS x FROM texts)""",
     "json_access": f"{TEXT} SELECT doc_id, CASE WHEN corruption < 6 THEN family END AS surname, CASE WHEN corruption < 5 THEN 1 WHEN corruption = 5 THEN 2 ELSE 0 END AS n_fields, 'n=2,' || CASE WHEN corruption % 2 = 0 THEN 'place=' || city || ',' ELSE '' END || 'surname=' || family AS flat FROM texts",
     "final_records": f"""{SCREENED}, raw AS ({TEXT} SELECT doc_id, truth_type, raw_text, {normalized()} AS t FROM texts)
         SELECT 'MODULE_1_OCR_EXTRACTION' AS module, '1.0.0' AS module_version, '2026.1' AS schema_version, doc_id::VARCHAR AS request_id, '/in/' || raw.truth_type AS input_file, sha256(raw_text) AS file_hash_sha256, document_type, status, len(reasons) > 0 AS manual_review_required,

@@ -75,6 +75,23 @@ def test_json_readers(spark, tmp_path):
         files.read_json(spark, str(tmp_path / "bad.json"), "a string", strict=True).collect()
 
 
+def test_json_as_variants(spark, tmp_path):
+    from docscreen.sources import variants
+
+    for name, text in {"a": '{"extracted_data": {"n": 3, "t": ["a", 1]}, "n": 9}', "b": '{"n": 2.5, "extracted_data": "none"}', "c": "{", "d": "[1]", "e": ""}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    rows = variants.read_variants(spark, str(tmp_path))
+    v = F.col("value")
+    got = {os.path.basename(r.path): (r.n, r.t, r.damaged) for r in rows.select("path", variants.get(v, "n", "double").alias("n"), variants.get(v, "t", "array<string>").alias("t"), "damaged").collect()}
+    got.pop("e.json", None)  # Spark's text source leaves empty files out
+    assert got == {"a.json": (3.0, ["a", "1"], None), "b.json": (2.5, None, None), "c.json": (None, None, "{"), "d.json": (None, None, None)}
+    each = variants.fields(rows.select("path", "value", variants.record(v).alias("record")), "record")
+    assert each.columns == ["path", "value", "record", "key", "field"]
+    found = sorted((os.path.basename(r.path), r.key, r.j, r.kind) for r in each.select("path", "key", F.to_json("field").alias("j"), F.schema_of_variant("field").alias("kind")).collect())
+    assert found == [("a.json", "n", "3", "BIGINT"), ("a.json", "t", '["a",1]', "ARRAY<VARIANT>"), ("b.json", "extracted_data", '"none"', "STRING"), ("b.json", "n", "2.5", "DECIMAL(2,1)")]
+    assert [(r.value, r.damaged) for r in variants.read_variants(spark, f"{tmp_path}/none.json").collect()] == [(None, None)]
+
+
 def test_slots(spark):
     docs = spark.createDataFrame([(1, b"one"), (2, b""), (3, None)], "doc_id int, content binary")
 
