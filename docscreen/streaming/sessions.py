@@ -17,10 +17,14 @@ A session that goes on after it was closed is a new one. Frames without a time a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -48,8 +52,11 @@ class Session:
     ended: str | None = None
 
 
-SESSION = "run int, frames long, start long, last long, blinks long, first_blink long, ended string"
-WAITING = "ts long, ear double, has_face boolean, key string"
+#: A frame in the state: ``unnamed`` if its session is null, NaN for no ear, the place of its key in KEYS.
+FRAMES = np.dtype([("session", "<i8"), ("unnamed", "?"), ("ts", "<i8"), ("ear", "<f8"), ("has_face", "?"), ("key", "u1")])
+KEYS = (None, " ", "q")
+#: Sessions share the state of a bucket, as each call for a key costs milliseconds in Python; frames of a task that are packed at once.
+BUCKETS, PACKED = 256, 200_000
 
 
 @dataclass(frozen=True)
@@ -102,74 +109,83 @@ class Rules:
 
 
 class Sessions(StatefulProcessor):
+    """The sessions of a bucket; what is known of them is a text of JSON, frames that wait are bytes of FRAMES."""
+
     def __init__(self, rules: Rules):
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", SESSION)
-        self.waiting = handle.getListState("waiting", WAITING)
+        self.sessions = handle.getValueState("sessions", "packed string")
+        self.waiting = handle.getListState("waiting", "packed binary")
+        self.folded: set[tuple] = set()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s, events, new = self._known(), [], []
-        for t in rows:
-            micros = t.ts.astype("datetime64[us]").astype("int64")
-            for ts, ear, has_face, pressed in zip(micros.tolist(), t.ear.tolist(), t.has_face.tolist(), t.key.tolist()):
-                frame = (ts, None if pd.isna(ear) else ear, bool(has_face) if not pd.isna(has_face) else False, pressed if isinstance(pressed, str) else None)
-                if s.last is not None and ts < s.last:
-                    events.append(("late", ts, None, None, None, None))
-                else:
-                    new.append(frame)
-        if new:
-            self.waiting.appendList(new)
-            self._timer(min(f[0] for f in new))  # one that is due already fires in this batch
-        yield self._out(key, events)
+        new = _frames(p for t in rows for p in t.packed)
+        known = self._known()
+        late = np.array([known[i].last > ts if i in known else False for i, ts in zip(_ids(new), new["ts"].tolist())], bool)
+        kept = new[~late]
+        if len(kept):
+            self.waiting.appendList([(kept.tobytes(),)])
+            self._timer(int(kept["ts"].min()))  # one that is due already fires in this batch
+        if late.any():
+            yield self._out([(i, "late", ts, None, None, None, None) for i, ts in zip(_ids(new[late]), new["ts"][late].tolist())])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, s, events = timerValues.getCurrentWatermarkInMs() * 1000, self._known(), []
-        waiting = sorted(self.waiting.get(), key=lambda f: f[0]) if self.waiting.exists() else []
-        due = [f for f in waiting if f[0] < now]
-        for frame in due:
+        if key in self.folded:  # all that this watermark brings about was done by the bucket's first timer
+            return
+        self.folded.add(key)
+        now, known, events = timerValues.getCurrentWatermarkInMs() * 1000, self._known(), []
+        waiting = _frames(p for (p,) in self.waiting.get()) if self.waiting.exists() else np.empty(0, FRAMES)
+        due, left = waiting[waiting["ts"] < now], waiting[waiting["ts"] >= now]
+        due, held = due[np.lexsort((due["ts"], due["session"], due["unnamed"]))], set(_ids(left))
+        for i, (_, _, ts, ear, has_face, pressed) in zip(_ids(due), due.tolist()):
+            s = known.get(i)
             # A pause that is long enough closes the session before its next frame.
-            if s.last is not None and frame[0] > self.rules.idle_at(s):
-                s = self._close(s, events)
-            events += self.rules.fold(s, frame)
-        if s.start is not None:
-            events += self.rules.passed(s, now)
-            if now > self.rules.idle_at(s) and len(due) == len(waiting):
-                s = self._close(s, events)
-        if due:
+            if s is not None and ts > self.rules.idle_at(s):
+                self._close(i, s, events)
+                s = None
+            if s is None:
+                s = known[i] = Session()
+            events += [(i, *e) for e in self.rules.fold(s, (ts, None if ear != ear else ear, has_face, KEYS[pressed]))]
+        for i, s in list(known.items()):
+            events += [(i, *e) for e in self.rules.passed(s, now)]
+            if now > self.rules.idle_at(s) and i not in held:
+                self._close(i, s, events)
+                del known[i]
+        if len(due):
             self.waiting.clear()
-            if left := waiting[len(due) :]:
-                self.waiting.put(left)
-                self._timer(left[0][0])
-        if s.start is None:
-            self.session.clear()
+            if len(left):
+                self.waiting.put([(left.tobytes(),)])
+        if known:
+            self.sessions.update((json.dumps([(i, *vars(s).values()) for i, s in known.items()]),))
         else:
-            self.session.update(astuple(s))
-            if s.ended is None:
-                self._timer(self.rules.deadline(s))
-            self._timer(self.rules.idle_at(s))
-        yield self._out(key, events)
-
-    def _close(self, s: Session, events: list) -> Session:
-        events += self.rules.passed(s, self.rules.idle_at(s) + 1)
+            self.sessions.clear()
+        # The next frame of a session that has frames waiting closes it, if need be.
+        times = [int(left["ts"].min())] if len(left) else []
+        times += [self.rules.deadline(s) for s in known.values() if s.ended is None] + [self.rules.idle_at(s) for i, s in known.items() if i not in held]
+        if times:
+            self._timer(min(times))
+        if events:
+            yield self._out(events)
+
+    def _close(self, i: int | None, s: Session, events: list) -> None:
+        events += [(i, *e) for e in self.rules.passed(s, self.rules.idle_at(s) + 1)]
         if s.ended is None:
-            events.append(self.rules._end(s, "stream_end", None))
-        events.append(("closed", s.first_blink, s.frames, s.ended, s.first_blink is not None, s.blinks))
-        return Session()
+            events.append((i, *self.rules._end(s, "stream_end", None)))
+        events.append((i, "closed", s.first_blink, s.frames, s.ended, s.first_blink is not None, s.blinks))
 
-    def _known(self) -> Session:
-        return Session(*self.session.get()) if self.session.exists() else Session()
+    def _known(self) -> dict[int | None, Session]:
+        return {i: Session(*s) for i, *s in json.loads(self.sessions.get()[0])} if self.sessions.exists() else {}
 
     def _timer(self, micros: int) -> None:
         self.handle.registerTimer(micros // 1000)
 
-    def _out(self, key: tuple, events: list) -> pd.DataFrame:
-        columns = dict(zip(("kind", "ts", "frame", "ended_by", "captured", "n"), zip(*events))) if events else {k: () for k in ("kind", "ts", "frame", "ended_by", "captured", "n")}
-        whole = {k: pd.array(columns[k], dtype="Int64") for k in ("ts", "frame", "n")}
+    def _out(self, events: list) -> pd.DataFrame:
+        columns = dict(zip(("session_id", "kind", "ts", "frame", "ended_by", "captured", "n"), zip(*events)))
+        whole = {k: pd.array(columns[k], dtype="Int64") for k in ("session_id", "ts", "frame", "n")}
         return pd.DataFrame({
-            "session_id": pd.array([key[0]] * len(events), dtype="Int64"), "kind": pd.Series(columns["kind"], dtype=object), "ts": pd.to_datetime(whole["ts"], unit="us"), "frame": whole["frame"],
+            "session_id": whole["session_id"], "kind": pd.Series(columns["kind"], dtype=object), "ts": pd.to_datetime(whole["ts"], unit="us"), "frame": whole["frame"],
             "ended_by": pd.Series(columns["ended_by"], dtype=object), "captured": pd.array(columns["captured"], dtype="boolean"), "n": whole["n"],
         })
 
@@ -177,18 +193,54 @@ class Sessions(StatefulProcessor):
         pass
 
 
-def session_events(frames: DataFrame, delay: str = "10 seconds", rules: Rules = Rules()) -> DataFrame:
+def _frames(packed: Iterator[bytes]) -> np.ndarray:
+    return np.concatenate([np.empty(0, FRAMES), *(np.frombuffer(p, FRAMES) for p in packed)])
+
+
+def _ids(frames: np.ndarray) -> list[int | None]:
+    return [None if unnamed else i for i, unnamed in zip(frames["session"].tolist(), frames["unnamed"].tolist())]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frames with their bucket as one row for each bucket and PACKED frames of a task."""
+
+    def flush() -> pa.RecordBatch:
+        frames, buckets = np.concatenate([f for f, _ in held]), np.concatenate([b for _, b in held])
+        order = np.argsort(buckets, kind="stable")
+        found, starts = np.unique(buckets[order], return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([f.tobytes() for f in np.split(frames[order], starts[1:])], pa.binary())], ["bucket", "packed"])
+
+    held: list[tuple] = []
+    for b in batches:
+        f, (session, ts, ear, has_face, key) = np.empty(b.num_rows, FRAMES), (b.column(c) for c in ("session_id", "ts", "ear", "has_face", "key"))
+        f["session"], f["unnamed"] = pc.fill_null(session, 0).to_numpy(zero_copy_only=False), pc.is_null(session).to_numpy(zero_copy_only=False)
+        f["ts"], f["ear"] = ts.cast(pa.int64()).to_numpy(zero_copy_only=False), pc.fill_null(ear, float("nan")).to_numpy(zero_copy_only=False)
+        f["has_face"], f["key"] = pc.fill_null(has_face, False).to_numpy(zero_copy_only=False), 0
+        for k, pressed in enumerate(KEYS[1:], 1):
+            f["key"][pc.fill_null(pc.equal(key, pressed), False).to_numpy(zero_copy_only=False)] = k
+        held.append((f, b.column("bucket").to_numpy(zero_copy_only=False)))
+        if sum(len(f) for f, _ in held) >= PACKED:
+            yield flush()
+            held = []
+    if held:
+        yield flush()
+
+
+def session_events(frames: DataFrame, delay: str = "10 seconds", rules: Rules = Rules(), buckets: int = BUCKETS) -> DataFrame:
     """Events of a stream of frames (session_id, ts, ear, has_face, key).
 
     delay: how far behind the latest frame of all sessions a frame may come. Frames that are later still are folded too if
     their session has not got past them, else they are events of kind late. Needs the RocksDB state store.
+    buckets: keys of the state, over which sessions are dealt by a hash; a checkpoint needs the number it was begun with.
     """
     spark = frames.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     # The watermark is that of a copy: Spark would drop rows behind it unseen, and here they are to be counted.
     timed = frames.where("ts is not null").withColumn("seen_at", F.col("ts")).withWatermark("seen_at", delay).select("session_id", "ts", "ear", "has_face", "key")
-    return timed.groupBy("session_id").transformWithStateInPandas(Sessions(rules), EVENT, "Append", "EventTime")
+    # A bucket is never null: pandas makes floats of whole numbers beside a null, and all keys of such a batch would share one state.
+    packed = timed.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")).mapInArrow(_pack, "bucket int, packed binary")
+    return packed.groupBy("bucket").transformWithStateInPandas(Sessions(rules), EVENT, "Append", "EventTime")
 
 
 def run_table(spark: SparkSession, frames: DataFrame, delay: str = "10 seconds", rules: Rules = Rules(), batches: int = 6) -> DataFrame:

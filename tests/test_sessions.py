@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import functions as F
+
 from docscreen.operators import face
 from docscreen.streaming.sessions import EVENT, FRAME, Rules, Session, run_table, session_events
 
@@ -85,3 +87,17 @@ def test_table_out_of_order_equals_batch(spark):
     assert {(e.session_id, e.ts) for e in events.where("kind = 'blink'").collect()} == {tuple(b) for b in face.blinks(df).collect()}
     assert {(e.session_id, e.captured, e.ts) for e in events.where("kind = 'closed'").collect()} == {tuple(x) for x in face.liveness(df).collect()}
     assert run_table(spark, df.limit(0), "1 second", RULES, 1).count() == 0
+
+
+def test_a_null_session_among_others_keeps_states_apart(spark):
+    """The last, null session comes in one batch with the frames, and in one partition with all sessions."""
+    rows = [f for k in range(30) for f in frames_of(k + k % 2 * 2**53, 40, 200 + k)]
+    df = spark.createDataFrame(rows, FRAME).coalesce(1).union(spark.createDataFrame([], FRAME)).withColumn("arrival", F.lit(0))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        events = run_table(spark, df, "1 day", RULES, 1)
+        got = {(e.session_id, e.captured, e.ts) for e in events.where("kind = 'closed'").collect()}, {(e.session_id, e.ts) for e in events.where("kind = 'blink'").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert got == ({tuple(x) for x in face.liveness(df).collect()}, {tuple(b) for b in face.blinks(df).collect()})
