@@ -498,7 +498,7 @@ def deskew_pages(spark, d):
     from ..operators import deskew
 
     found = deskew.with_skew(fixtures.pages(spark, d))
-    left = deskew.with_skew(deskew.straighten(found), name="left")
+    left = deskew.with_skew(found, name="left", turned="skew_angle", pixels=False)
     return left.select("id", F.round("skew_angle").cast("int").alias("degrees"), ((F.col("skew_angle") == 0) | (F.abs("left_angle") <= 0.5)).alias("straight"))
 
 

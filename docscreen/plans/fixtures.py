@@ -6,6 +6,8 @@ and the like stand for the tables. ASCII text and integer arithmetic only.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import written
@@ -132,6 +134,7 @@ STATS = """
 IMAGE = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 
 
+@lru_cache(maxsize=128)
 def draw_page(degrees: float, width: int = 240, height: int = 200, lines: int = 5) -> bytes:
     """Gray pixels of a page with lines of text, as bars, turned clockwise by so many degrees."""
     import numpy as np
@@ -152,11 +155,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
 
     def run(batches):
-        for b in batches:
-            for key, degrees in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                image = {"origin": f"/pages/{key}", "height": 200, "width": 240, "nChannels": 1, "mode": 0, "data": draw_page(degrees)}
-                kind = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([image], kind)], ["id", "image"])
+        kind = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                images = [{"origin": f"/pages/{key}", "height": 200, "width": 240, "nChannels": 1, "mode": 0, "data": draw_page(degrees)} for key, degrees in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(images, kind)], ["id", "image"])
 
     parts = spark.sql(f"SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_partkey % 83 - 41 AS DOUBLE) AS degrees FROM parquet.`{sf_dir}/part.parquet`")
     return parts.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, f"id long, {IMAGE}")

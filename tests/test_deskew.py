@@ -64,3 +64,33 @@ def test_pages_are_straightened(spark):
             assert abs(angle - want) < 0.5 and abs(rest) <= 0.5 or want == -10 or a == 35 and angle == 0, (a, angle, rest)
             assert angle or bytes(image.data) == page(a, image.nChannels).tobytes()
     assert got[100] == [(None, None, None)] and got[102][0][0] == 0.0
+
+
+def test_only_uneven_pixels_are_resampled(monkeypatch):
+    """The turned page is that of the plain kernel over all pixels, at a fraction of its work."""
+    rng, worked, cubic = np.random.default_rng(2), [], deskew._cubic
+    monkeypatch.setattr(deskew, "_cubic", lambda t: worked.append(t.size) or cubic(t))
+
+    def plain(pixels, degrees):
+        (height, width), (c, s) = pixels.shape, (np.cos(np.radians(degrees)), np.sin(np.radians(degrees)))
+        cx, cy, (y, x) = width // 2, height // 2, np.mgrid[0:height, 0:width]
+        at_x, at_y = c * (x - cx) - s * (y - cy) + cx, s * (x - cx) + c * (y - cy) + cy
+        left, up = np.floor(at_x).astype(int), np.floor(at_y).astype(int)
+        wx, wy = cubic(at_x - left), cubic(at_y - up)
+        taps = ((wy[j] * wx[i]).astype(np.float32) * pixels[np.clip(up + j - 1, 0, height - 1), np.clip(left + i - 1, 0, width - 1)].astype(np.float32) for j in range(4) for i in range(4))
+        return np.clip(np.rint(sum(taps, np.zeros(pixels.shape, np.float32))), 0, 255).astype(np.uint8)
+
+    for image in (page(20)[..., 0], rng.integers(0, 256, (61, 47)).astype(np.uint8), np.full((3, 200), 9, np.uint8), np.array([[1, 250]], np.uint8)):
+        for degrees in (-20.0, 3.37, 90.0, 133.0):
+            assert (deskew.rotate(image, degrees) == plain(image, degrees)).all()
+    worked.clear()
+    deskew.rotate(page(20)[..., 0], 20.0)
+    assert sum(worked) < 2 * 200 * 240 / 4
+
+
+def test_left_of_the_skew_without_the_turned_images(spark):
+    rows = [(k, ("o", 200, 240, c, 16, page(a, c).tobytes())) for k, a in enumerate((0, -7.5, 22, 35)) for c in (1, 3)] + [(100, None)]
+    found = deskew.with_skew(spark.createDataFrame(rows, f"id int, {IMAGE}"))
+    direct, whole = deskew.with_skew(found, name="left", turned="skew_angle", pixels=False), deskew.with_skew(deskew.straighten(found), name="left")
+    assert direct.columns == [c for c in whole.columns if c != "image"]
+    assert sorted(map(str, direct.collect())) == sorted(map(str, whole.drop("image").collect()))
