@@ -1,12 +1,15 @@
 """Camera sessions in event time: the state machine against the batch queries, and the stream with late frames and timers."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docscreen.operators import face
-from docscreen.streaming.sessions import EVENT, FRAME, Rules, Session, run_table, session_events
+from docscreen.streaming.sessions import EVENT, FRAME, Rules, Session, Sessions, _pack, run_table, session_events
 
 T0 = datetime(2024, 5, 1, tzinfo=timezone.utc)
 RULES = Rules(timeout=15.0, stable=20, idle=60.0)
@@ -101,3 +104,68 @@ def test_a_null_session_among_others_keeps_states_apart(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
     assert got == ({tuple(x) for x in face.liveness(df).collect()}, {tuple(b) for b in face.blinks(df).collect()})
+
+
+class Calls:
+    """Stands for a state and its handle, and counts what is asked of them."""
+
+    def __init__(self):
+        self.n, self.values = Counter(), []
+
+    def getValueState(self, *_):
+        return Calls()
+
+    getListState = getValueState
+
+    def registerTimer(self, _):
+        self.n["timer"] += 1
+
+    def exists(self):
+        self.n["exists"] += 1
+        return bool(self.values)
+
+    def get(self):
+        self.n["get"] += 1
+        return self.values
+
+    def appendList(self, rows):
+        self.n["append"] += 1
+        self.values += rows
+
+    def put(self, rows):
+        self.n["put"] += 1
+        self.values = list(rows)
+
+    def update(self, row):
+        self.n["update"] += 1
+        self.values = row
+
+    def clear(self):
+        self.n["clear"] += 1
+        self.values = []
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_sessions_of_a_bucket_share_their_calls():
+    """Each call goes to the JVM and back; their number doesn't grow with the sessions, of which one is null."""
+    mine = {k: list({f[1]: f for f in frames_of(k, 12, 300 + (k or 0))}.values()) for k in [None, *range(2**53, 2**53 + 200)]}  # no ties, as they come in any order
+    rows = [f for frames in mine.values() for f in frames]
+    random.Random(5).shuffle(rows)
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.timestamp("us", "UTC"), pa.float64(), pa.bool_(), pa.string()))]
+    batch = pa.RecordBatch.from_arrays([*columns, pa.array([0] * len(rows), pa.int32())], ["session_id", "ts", "ear", "has_face", "key", "bucket"])
+    packed = [b.to_pandas() for b in _pack(iter([batch]))]
+    assert sum(map(len, packed)) == 1
+    sessions, handle, times = Sessions(RULES), Calls(), Calls()
+    sessions.init(handle)
+    assert not list(sessions.handleInputRows((0,), iter(packed), times))
+    seen = set()
+    for seconds in (4, 4, 8, 1000):
+        sessions.folded.clear()
+        times.now = round((T0.timestamp() + seconds) * 1000)
+        for out in sessions.handleExpiredTimer((0,), times, None):
+            seen |= {(None if pd.isna(r.session_id) else r.session_id, r.kind, r.ts) for r in out.itertuples() if r.kind in ("blink", "closed")}
+    want = {(k, "blink", pd.Timestamp(e[1], unit="us")) for k, frames in mine.items() for e in folded(frames)[1] if e[0] == "blink"}
+    assert {e for e in seen if e[1] == "blink"} == want and {e[0] for e in seen if e[1] == "closed"} == set(mine)
+    assert sum(sum(c.n.values()) for c in (handle, sessions.sessions, sessions.waiting)) < 40
