@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -57,6 +58,8 @@ FRAMES = np.dtype([("session", "<i8"), ("unnamed", "?"), ("ts", "<i8"), ("ear",
 KEYS = (None, " ", "q")
 #: Sessions share the state of a bucket, as each call for a key costs milliseconds in Python; frames of a task that are packed at once.
 BUCKETS, PACKED = 256, 200_000
+#: Frames of a table that a partition of the state takes before there are more partitions than cores.
+PARTITION_FRAMES = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -67,11 +70,19 @@ class Rules:
     stable: int = STABLE_FRAMES
     idle: float = IDLE_S
 
+    @cached_property
+    def timeout_micros(self) -> int:
+        return round(self.timeout * 1_000_000)
+
+    @cached_property
+    def idle_micros(self) -> int:
+        return round(self.idle * 1_000_000)
+
     def deadline(self, s: Session) -> int:
-        return s.start + round(self.timeout * 1_000_000)
+        return s.start + self.timeout_micros
 
     def idle_at(self, s: Session) -> int:
-        return s.last + round(self.idle * 1_000_000)
+        return s.last + self.idle_micros
 
     def fold(self, s: Session, frame: tuple) -> Iterator[tuple]:
         """Take one frame (ts, ear, has_face, key) into the session; events as (kind, ts, frame, ended_by, captured, n)."""
@@ -123,7 +134,7 @@ class Sessions(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = _frames(p for t in rows for p in t.packed)
         known = self._known()
-        late = np.array([known[i].last > ts if i in known else False for i, ts in zip(_ids(new), new["ts"].tolist())], bool)
+        late = _late(new, known)
         kept = new[~late]
         if len(kept):
             self.waiting.appendList([(kept.tobytes(),)])
@@ -139,15 +150,20 @@ class Sessions(StatefulProcessor):
         waiting = _frames(p for (p,) in self.waiting.get()) if self.waiting.exists() else np.empty(0, FRAMES)
         due, left = waiting[waiting["ts"] < now], waiting[waiting["ts"] >= now]
         due, held = due[np.lexsort((due["ts"], due["session"], due["unnamed"]))], set(_ids(left))
-        for i, (_, _, ts, ear, has_face, pressed) in zip(_ids(due), due.tolist()):
+        new, idle = np.ones(len(due), bool), self.rules.idle_micros
+        new[1:] = (due["session"][1:] != due["session"][:-1]) | (due["unnamed"][1:] != due["unnamed"][:-1])
+        first, columns = np.flatnonzero(new), [due[c].tolist() for c in ("ts", "ear", "has_face", "key")]
+        for i, a, e in zip(_ids(due[first]), first.tolist(), [*first[1:].tolist(), len(due)]):
             s = known.get(i)
-            # A pause that is long enough closes the session before its next frame.
-            if s is not None and ts > self.rules.idle_at(s):
-                self._close(i, s, events)
-                s = None
-            if s is None:
-                s = known[i] = Session()
-            events += [(i, *e) for e in self.rules.fold(s, (ts, None if ear != ear else ear, has_face, KEYS[pressed]))]
+            for ts, ear, has_face, pressed in zip(*(c[a:e] for c in columns)):
+                # A pause that is long enough closes the session before its next frame.
+                if s is not None and ts > s.last + idle:
+                    self._close(i, s, events)
+                    s = None
+                if s is None:
+                    s = known[i] = Session()
+                for event in self.rules.fold(s, (ts, None if ear != ear else ear, has_face, KEYS[pressed])):
+                    events.append((i, *event))
         for i, s in list(known.items()):
             events += [(i, *e) for e in self.rules.passed(s, now)]
             if now > self.rules.idle_at(s) and i not in held:
@@ -201,6 +217,18 @@ def _ids(frames: np.ndarray) -> list[int | None]:
     return [None if unnamed else i for i, unnamed in zip(frames["session"].tolist(), frames["unnamed"].tolist())]
 
 
+def _late(frames: np.ndarray, known: dict[int | None, Session]) -> np.ndarray:
+    """Which frames come when later ones of their session have been folded."""
+    late = np.zeros(len(frames), bool)
+    last = np.array(sorted((i, s.last) for i, s in known.items() if i is not None), np.int64).reshape(-1, 2)
+    if len(last):
+        at = np.minimum(np.searchsorted(last[:, 0], frames["session"]), len(last) - 1)
+        late = ~frames["unnamed"] & (last[at, 0] == frames["session"]) & (last[at, 1] > frames["ts"])
+    if None in known:
+        late |= frames["unnamed"] & (known[None].last > frames["ts"])
+    return late
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Frames with their bucket as one row for each bucket and PACKED frames of a task."""
 
@@ -232,6 +260,7 @@ def session_events(frames: DataFrame, delay: str = "10 seconds", rules: Rules =
     delay: how far behind the latest frame of all sessions a frame may come. Frames that are later still are folded too if
     their session has not got past them, else they are events of kind late. Needs the RocksDB state store.
     buckets: keys of the state, over which sessions are dealt by a hash; a checkpoint needs the number it was begun with.
+    Each of spark.sql.shuffle.partitions, as set when the query first starts, costs a commit of its state store in each batch: few are best.
     """
     spark = frames.sparkSession
     ship(spark)
@@ -243,6 +272,11 @@ def session_events(frames: DataFrame, delay: str = "10 seconds", rules: Rules =
     return packed.groupBy("bucket").transformWithStateInPandas(Sessions(rules), EVENT, "Append", "EventTime")
 
 
+def _partitions(most: int, cores: int, frames: int, buckets: int) -> int:
+    """Of the state of a table's stream: what a batch pays for each doesn't depend on what it holds, so no more than cores unless there are many frames."""
+    return min(most, buckets, max(cores, -(-frames // PARTITION_FRAMES)))
+
+
 def run_table(spark: SparkSession, frames: DataFrame, delay: str = "10 seconds", rules: Rules = Rules(), batches: int = 6) -> DataFrame:
     """Run a table of frames through the stream to its end; the sink's rows.
 
@@ -258,9 +292,17 @@ def run_table(spark: SparkSession, frames: DataFrame, delay: str = "10 seconds",
     for k in range(batches):
         kept.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(f"{base}/in")
     ahead = F.expr(f"INTERVAL {delay}") + F.make_dt_interval(secs=F.lit(2 * rules.idle + rules.timeout + 1))
-    end = kept.agg((F.max("ts") + ahead).alias("ts")).select(F.lit(None).cast("long").alias("session_id"), "ts", F.lit(None).cast("double").alias("ear"), F.lit(False).alias("has_face"), F.lit(None).cast("string").alias("key"))
+    written = spark.read.schema(FRAME).parquet(f"{base}/in")
+    partitions = _partitions(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, written.count(), BUCKETS)
+    end = written.agg((F.max("ts") + ahead).alias("ts")).select(F.lit(None).cast("long").alias("session_id"), "ts", F.lit(None).cast("double").alias("ear"), F.lit(False).alias("has_face"), F.lit(None).cast("string").alias("key"))
     end.where("ts is not null").coalesce(1).write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(FRAME).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
-    query = session_events(stream, delay, rules).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    writer = session_events(stream, delay, rules).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)  # a query keeps what is set when it starts
+    try:
+        query = writer.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     query.awaitTermination()
     return spark.read.schema(EVENT).parquet(f"{base}/out").where("session_id is not null")

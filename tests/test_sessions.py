@@ -4,12 +4,14 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docscreen.operators import face
-from docscreen.streaming.sessions import EVENT, FRAME, Rules, Session, Sessions, _pack, run_table, session_events
+from docscreen.sources import shared
+from docscreen.streaming.sessions import EVENT, FRAME, FRAMES, PARTITION_FRAMES, Rules, Session, Sessions, _late, _pack, _partitions, run_table, session_events
 
 T0 = datetime(2024, 5, 1, tzinfo=timezone.utc)
 RULES = Rules(timeout=15.0, stable=20, idle=60.0)
@@ -169,3 +171,30 @@ def test_sessions_of_a_bucket_share_their_calls():
     want = {(k, "blink", pd.Timestamp(e[1], unit="us")) for k, frames in mine.items() for e in folded(frames)[1] if e[0] == "blink"}
     assert {e for e in seen if e[1] == "blink"} == want and {e[0] for e in seen if e[1] == "closed"} == set(mine)
     assert sum(sum(c.n.values()) for c in (handle, sessions.sessions, sessions.waiting)) < 40
+
+
+def test_a_table_is_run_with_few_state_partitions(spark, monkeypatch):
+    """Each partition commits its state in each batch, so that 200 of them cost more than the frames; the session's own setting stays."""
+    df = spark.createDataFrame([f for k in range(20) for f in frames_of(k, 30, 400 + k)], FRAME)
+    paths, partitions = [], spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr("docscreen.streaming.sessions.shared_path", lambda *a: paths.append(shared.shared_path(*a)) or paths[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        events = run_table(spark, df, "1 day", RULES, 1)
+        got = {(e.session_id, e.ts) for e in events.where("kind = 'blink'").collect()}
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    at, fs = shared._hadoop(spark, f"{paths[0]}/state/state/0")
+    assert sum(x.getPath().getName().isdigit() for x in fs.listStatus(at)) == spark.sparkContext.defaultParallelism
+    assert got == {(e.session_id, e.ts) for e in face.blinks(df).collect()}
+    # One where the session has one; more than cores for many frames; never more than keys.
+    assert [_partitions(most, 8, frames, 256) for most, frames in ((1, 10**9), (200, 10), (200, 20 * PARTITION_FRAMES), (1000, 10**12))] == [1, 8, 20, 256]
+
+
+def test_late_frames_of_a_bucket():
+    frames = np.zeros(6, FRAMES)
+    frames["session"], frames["unnamed"], frames["ts"] = [7, 7, 8, 0, 0, 2**53 + 1], [False, False, False, True, False, False], [4, 5, 0, 2, 2, 1]
+    known = {7: Session(last=5), None: Session(last=3), 2**53 + 1: Session(last=2), 2**53: Session(last=0)}
+    assert _late(frames, known).tolist() == [True, False, False, True, False, True]
+    assert not _late(frames, {}).any() and _late(frames, {None: known[None]}).tolist() == [False, False, False, True, False, False]
