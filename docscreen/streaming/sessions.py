@@ -58,8 +58,9 @@ FRAMES = np.dtype([("session", "<i8"), ("unnamed", "?"), ("ts", "<i8"), ("ear",
 KEYS = (None, " ", "q")
 #: Sessions share the state of a bucket, as each call for a key costs milliseconds in Python; frames of a task that are packed at once.
 BUCKETS, PACKED = 256, 200_000
-#: Frames of a table that a partition of the state takes before there are more partitions than cores.
-PARTITION_FRAMES = 5_000_000
+#: A table's stream has twice the keys and two partitions of the state for each core, as few keys are dealt unevenly (43 of 256 to one of 8
+#: partitions, where 32 are its share); more partitions for more than so many frames in each.
+TABLE_BUCKETS, PARTITION_FRAMES = 512, 5_000_000
 
 
 @dataclass(frozen=True)
@@ -273,8 +274,8 @@ def session_events(frames: DataFrame, delay: str = "10 seconds", rules: Rules =
 
 
 def _partitions(most: int, cores: int, frames: int, buckets: int) -> int:
-    """Of the state of a table's stream: what a batch pays for each doesn't depend on what it holds, so no more than cores unless there are many frames."""
-    return min(most, buckets, max(cores, -(-frames // PARTITION_FRAMES)))
+    """Of the state of a table's stream: what a batch pays for each doesn't depend on what it holds, so two for each core unless there are many frames."""
+    return min(most, buckets, max(2 * cores, -(-frames // PARTITION_FRAMES)))
 
 
 def run_table(spark: SparkSession, frames: DataFrame, delay: str = "10 seconds", rules: Rules = Rules(), batches: int = 6) -> DataFrame:
@@ -293,11 +294,11 @@ def run_table(spark: SparkSession, frames: DataFrame, delay: str = "10 seconds",
         kept.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(f"{base}/in")
     ahead = F.expr(f"INTERVAL {delay}") + F.make_dt_interval(secs=F.lit(2 * rules.idle + rules.timeout + 1))
     written = spark.read.schema(FRAME).parquet(f"{base}/in")
-    partitions = _partitions(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, written.count(), BUCKETS)
+    partitions = _partitions(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, written.count(), TABLE_BUCKETS)
     end = written.agg((F.max("ts") + ahead).alias("ts")).select(F.lit(None).cast("long").alias("session_id"), "ts", F.lit(None).cast("double").alias("ear"), F.lit(False).alias("has_face"), F.lit(None).cast("string").alias("key"))
     end.where("ts is not null").coalesce(1).write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(FRAME).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
-    writer = session_events(stream, delay, rules).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    writer = session_events(stream, delay, rules, TABLE_BUCKETS).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)  # a query keeps what is set when it starts
     try:

@@ -186,10 +186,10 @@ def test_a_table_is_run_with_few_state_partitions(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
     at, fs = shared._hadoop(spark, f"{paths[0]}/state/state/0")
-    assert sum(x.getPath().getName().isdigit() for x in fs.listStatus(at)) == spark.sparkContext.defaultParallelism
+    assert sum(x.getPath().getName().isdigit() for x in fs.listStatus(at)) == 2 * spark.sparkContext.defaultParallelism
     assert got == {(e.session_id, e.ts) for e in face.blinks(df).collect()}
-    # One where the session has one; more than cores for many frames; never more than keys.
-    assert [_partitions(most, 8, frames, 256) for most, frames in ((1, 10**9), (200, 10), (200, 20 * PARTITION_FRAMES), (1000, 10**12))] == [1, 8, 20, 256]
+    # One where the session has one; more than two for each core for many frames; never more than keys.
+    assert [_partitions(most, 8, frames, 256) for most, frames in ((1, 10**9), (200, 10), (200, 20 * PARTITION_FRAMES), (1000, 10**12))] == [1, 16, 20, 256]
 
 
 def test_late_frames_of_a_bucket():
